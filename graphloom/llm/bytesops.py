@@ -56,7 +56,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, bounds, document of each segment), at most about `limit` bytes each.
+    """(bytes, bounds, document of each segment); see pieces()."""
+    for part, bounds, docs, _ in pieces(data, offsets, limit):
+        yield part, bounds, docs
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(bytes, bounds, document of each segment, whether segments end their
+    documents), at most about `limit` bytes each.
 
     A longer document is cut after white space (or, in a word longer than the
     limit, after that word), so that no word is cut and memory stays bounded.
@@ -66,7 +73,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterato
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         lo, hi = offsets[at], offsets[end]
         if hi - lo <= limit:
-            yield data[lo:hi], offsets[at : end + 1] - lo, np.arange(at, end)
+            yield data[lo:hi], offsets[at : end + 1] - lo, np.arange(at, end), True
         else:
             while lo < hi:
                 cut = min(lo + limit, hi)
@@ -76,7 +83,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterato
                         cut += gap[0] + 1
                         break
                     cut = min(cut + 65536, hi)
-                yield data[lo:cut], np.array([0, cut - lo]), np.array([at])
+                yield data[lo:cut], np.array([0, cut - lo]), np.array([at]), cut == hi
                 lo = cut
         at = end
 

@@ -5,11 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import langid, minhash, packing, toxicity
+from graphloom.llm import additive, ctw, fingerprints, langid, licences, minhash, packing, pieces, toxicity, urls
 from graphloom.llm.common import read, remainder_is_two
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = remainder_is_two("doc_id", 7)
+    model = ctw.learn(docs, held)
+    return ctw.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree source/lang/block: every 64th id is a block's
+    licence file, every 1024th that of its language, every 8192nd of its source."""
+    i, part = F.col("doc_id"), lambda c: F.coalesce(F.col(c), F.lit("none"))
+    block = F.floor(i / 64).cast("string")
+    path = (
+        F.when(i % 8192 == 0, F.concat_ws("/", part("source"), F.lit("LICENSE")))
+        .when(i % 1024 == 0, F.concat_ws("/", part("source"), part("lang"), F.lit("LICENSE")))
+        .when(i % 64 == 0, F.concat_ws("/", part("source"), part("lang"), block, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", part("source"), part("lang"), block, F.concat(i.cast("string"), F.lit(".txt"))))
+    )
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(document_files(read(spark, sf_dir, "documents")))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents"))
 
@@ -21,10 +47,42 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return additive.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), kept=["doc_id"])
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text, their hash, and whether they decode to the text."""
+    v = pieces.load()
+    docs = read(spark, sf_dir, "documents")
+    ids = pieces.encode(docs, v, ["doc_id", "text"])
+    back = pieces.decode(ids.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("text").alias("h"), "ids"), v, ["doc_id", "n_pieces", "ids_hash", "h"])
+    return back.select("doc_id", "n_pieces", "ids_hash", (F.xxhash64("text") == F.col("h")).alias("exact"))
+
+
+URL_RULES = [
+    urls.domain_rule("block", "net/"),
+    urls.domain_rule("allow", "example.net/en/"),
+    urls.domain_rule("block", "example.com/de/"),
+    urls.domain_rule("allow", "org/fr/"),
+]
+
+
+#: Where no rule fits: hosts with these words are blocked, others allowed.
+URL_WORDS = ["ads-track", "spam-farm", "cheap-pills", "casino", "malware", "phishing", "adult", "free-money"]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = URL_RULES + [urls.word_rule("block", w) for w in URL_WORDS]
+    judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", F.when(F.col("level") == 0, F.col("rule")).alias("rule"), "verdict")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = remainder_is_two("doc_id", 4)
@@ -32,6 +90,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, kept=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -39,11 +101,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
+    "op2_licences": op2_licences,
     "op3_minhash": op3_minhash,
     "op4_langid": op4_langid,
+    "op5_additive": op5_additive,
     "op6_packing": op6_packing,
+    "op7_pieces": op7_pieces,
+    "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
+    "op10_fingerprints": op10_fingerprints,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_urls": """
+WITH split AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM split)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+       WHEN rule IS NOT NULL THEN 'allow'
+       WHEN regexp_matches(host, '(^|[^a-z0-9])(ads[^a-z0-9]+track|spam[^a-z0-9]+farm|cheap[^a-z0-9]+pills|casino|malware|phishing|adult|free[^a-z0-9]+money)([^a-z0-9]|$)') THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM judged
+""",
+}
