@@ -121,6 +121,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found])
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of each document."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for part, bounds, docs in chunks(data, offsets):
+        word = ~SPACE[part]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inner = bounds[:-1][bounds[:-1] < len(part)]
+        first[inner] = word[inner]
+        total = np.concatenate(([0], np.cumsum(first)))
+        out[docs] += np.diff(total[bounds])
+    return out
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle hash, count), sorted; a text of fewer words is one shingle."""
     h, d = words(data, offsets)

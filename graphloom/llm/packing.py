@@ -16,17 +16,33 @@ are broken by the text's hash.  Repeated rows take a place each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.llm import bytesops as B
+from graphloom.llm.common import bounded_batches
 
 
 EXACT = 1024
 GROUP_ROWS = 50_000
 
 
-def length_of(text: Column) -> Column:
-    return (F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)) + 1).cast("long")
+def with_length(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """The kept columns of docs and n_tokens."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = B.word_counts(*B.text_bytes(batch.column("_text"))) + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n)], names=[*kept, "n_tokens"])
+
+    fields = [docs.schema[c] for c in kept]
+    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType())]))
 
 
 def binned(length: Column) -> Column:
@@ -77,8 +93,8 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, kept: list[str
     """The kept columns (all) of docs, with n_tokens, bucket, batch_id, padding."""
     added = ("n_tokens", "bucket", "batch_id", "padding")
     kept = [c for c in (docs.columns if kept is None else kept) if c not in added]
-    sized = docs.select(*kept, length_of(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_h")).withColumn("_bin", binned(F.col("n_tokens")))
-    histogram = docs.select(length_of(F.col("text")).alias("n")).select(binned(F.col("n")).alias("n")).groupBy("n").count().toPandas()
+    sized = with_length(docs.withColumn("_h", F.xxhash64("doc_id", "text")), [*kept, "_h"]).withColumn("_bin", binned(F.col("n_tokens")))
+    histogram = with_length(docs, []).select(binned(F.col("n_tokens")).alias("n")).groupBy("n").count().toPandas()
     bounds = best_bounds(histogram["n"].to_numpy(), histogram["count"].to_numpy(), buckets)
     if not bounds:
         return sized.drop("_h", "_bin").withColumns({"bucket": F.lit(0).cast("long"), "batch_id": F.lit("0-0"), "padding": F.lit(0).cast("long")})
