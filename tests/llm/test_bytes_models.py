@@ -137,12 +137,12 @@ def test_context_tree_matches_its_definition(spark, share):
     assert np.allclose(leaves.sum(1), 1, atol=1e-5)
 
 
-@pytest.mark.parametrize("share", [1e-5, 0.05])
+@pytest.mark.parametrize("share", [1e-6, 0.05])
 def test_base_score_and_counts(spark, share):
     texts = [*ODD, "One two", "rare word", "One two", "a a A a"]
     ids = [*range(len(ODD)), 50, 51, 50, None]
     docs = frame(spark, texts, ids)
-    model = ctw.learn(docs, remainder_is_two("doc_id", 7), depth=2, share=share)
+    model = ctw.learn(docs, remainder_is_two("doc_id", 7), depth=2, word_share=share)
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
     c = collections.Counter()
     for t, h in zip(texts, held):
