@@ -1,6 +1,6 @@
 """Document fingerprints by I-Match, with DataFrame operations only.
 
-Terms are words (A-Z lowered) hashed to TERMS buckets, so that document
+Terms are words (lower case) hashed to TERMS buckets, so that document
 frequencies have a proven bound: each is at most TERMS counts.  The lexicon
 holds the buckets of the chosen inverse-document-frequency band, log(N / df)
 from `idf_from` to `idf_to`.  Of it, randomised subsets are drawn: at scale s
@@ -19,9 +19,7 @@ next.
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -30,20 +28,22 @@ from pyspark.sql import functions as F
 
 TERMS = 1 << 20
 SCALES, EACH = (3, 5, 7, 9), 8
-BLOCK_ROWS = 4096
+#: Where each scale's bits stand in a bucket's number, itself a hash of the word.
+OFFSETS = {3: 0, 5: 3, 7: 8, 9: 11}
+BLOCK_ROWS = 1024
 
 
 def buckets(text: Column) -> Column:
-    """Distinct buckets of a text's words, unsorted; -1 stands for none."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(low, r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(words, lambda w: F.when(w == "", F.lit(-1)).otherwise(F.pmod(F.xxhash64(w), F.lit(TERMS)).cast("int"))))
+    """Distinct buckets of a text's words, unsorted (text before, between and after
+    white space, so a leading space adds the empty word)."""
+    words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(TERMS - 1)).cast("int")))
 
 
 def lexicon(docs: DataFrame, idf_from: float = 3.0, idf_to: float = 7.0) -> np.ndarray:
     """The buckets in the band, as TERMS / 64 words of bits (at most TERMS counts reach the driver)."""
     n = docs.count()
-    term = docs.select(F.explode(buckets(F.coalesce("text", F.lit("")))).alias("b")).where("b >= 0")
+    term = docs.select(F.explode(buckets(F.coalesce("text", F.lit("")))).alias("b"))
     low, high = n * float(np.exp(-idf_to)), n * float(np.exp(-idf_from))
     kept = term.groupBy("b").agg(F.count("*").alias("df")).where(F.col("df").between(low, max(high, 1.0))).select("b").toPandas()["b"].to_numpy(np.int64)
     bits = np.zeros(TERMS // 64, np.uint64)
@@ -54,18 +54,21 @@ def lexicon(docs: DataFrame, idf_from: float = 3.0, idf_to: float = 7.0) -> np.n
 def known_terms(text: Column, bits: np.ndarray) -> Column:
     """Sorted lexicon terms of a text."""
     table = F.from_json(F.lit("[" + ",".join(map(str, bits.tolist())) + "]"), "array<bigint>")
-    held = lambda b: (b >= 0) & (F.getbit(F.element_at(table, F.shiftright(F.greatest(b, F.lit(0)), 6) + 1), F.greatest(b, F.lit(0)).bitwiseAND(F.lit(63))) == 1)
-    return F.array_sort(F.filter(buckets(text), held))
+    held = lambda b: F.getbit(F.element_at(table, F.shiftright(b, 6) + 1), b.bitwiseAND(F.lit(63))) == 1
+    return F.sort_array(F.filter(buckets(text), held))
 
 
 def subset_hashes(frame: DataFrame, terms: str, out: str) -> DataFrame:
     """Adds array column `out`: the hash of each subset's terms, null where it has none."""
 
-    def chosen(column: str, scale: int, test: Callable[[Column], Column]) -> Column:
-        return F.filter(column, lambda b: test(F.pmod(F.xxhash64(b, F.lit(scale)), F.lit(1 << scale))))
+    def chosen(column: str, scale: int, k: int | None) -> Column:
+        """Terms whose `scale` bits are k; None: below EACH."""
+        bits, low = (1 << scale) - 1, OFFSETS[scale]
+        mask, want = (bits & ~(EACH - 1), 0) if k is None else (bits, k)
+        return F.filter(column, lambda b: b.bitwiseAND(F.lit(mask << low)) == F.lit(want << low))
 
-    frame = frame.withColumns({f"_s{s}": chosen(terms, s, lambda place: place < EACH) for s in SCALES})
-    frame = frame.withColumn("_parts", F.array(*[chosen(f"_s{s}", s, partial(operator.eq, k)) for s in SCALES for k in range(EACH)]))
+    frame = frame.withColumns({f"_s{s}": chosen(terms, s, None) for s in SCALES})
+    frame = frame.withColumn("_parts", F.array(*[chosen(f"_s{s}", s, k) for s in SCALES for k in range(EACH)]))
     hashed = F.transform("_parts", lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
     return frame.withColumn(out, hashed).drop("_parts", *[f"_s{s}" for s in SCALES])
 
@@ -81,10 +84,11 @@ def as_text(hashes: Column, text: Column) -> Column:
     return F.when(F.exists(hashes, lambda h: h.isNotNull()), F.concat_ws(".", parts)).otherwise(F.concat(F.lit("text."), F.lower(F.hex(text))))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_column: str, tie: str) -> DataFrame:
-    """Adds `next`, the struct of `columns` of the next row by (id, tie); after the
-    last comes the first.  Rows are dealt to blocks of ids; a block also gets the
-    first row of the block after it, so that no order over all rows is needed."""
+def with_next(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: list[str], id_column: str, tie: str) -> DataFrame:
+    """finish(docs) with `next`, the struct of `columns` of its next row by (id, tie);
+    after the last comes the first.  Rows are dealt to blocks of ids; a block also
+    gets the first row of the block after it, so that no order over all rows is
+    needed.  finish adds columns row by row."""
     low, high, n = docs.agg(F.min(id_column), F.max(id_column), F.count("*")).first()
     if low is None:
         low = high = 0
@@ -98,7 +102,7 @@ def with_next(docs: DataFrame, columns: list[str], id_column: str, tie: str) ->
     ring = Window.orderBy("_block")
     before = numbers.select(F.col("_block").alias("_of"), F.lag("_block").over(ring).alias("_before"), F.max("_block").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
     guests = first.join(before, F.col("_block") == F.col("_of")).select("r.*", F.coalesce("_before", "_last").alias("_block"), F.lit(True).alias("_guest"))
-    rows = placed.withColumn("_guest", F.lit(False)).unionByName(guests)
+    rows = finish(placed.withColumn("_guest", F.lit(False))).unionByName(finish(guests))
     line = Window.partitionBy("_block").orderBy("_guest", F.col(id_column).asc_nulls_first(), tie)
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(line)).where("not _guest").drop("_block", "_guest")
 
@@ -108,9 +112,12 @@ def fingerprints(docs: DataFrame, idf_from: float = 3.0, idf_to: float = 7.0) ->
     near_edited, near_next for every row of docs (see the module)."""
     bits = lexicon(docs, idf_from, idf_to)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumns({"n_chars": F.char_length("text").cast("long"), "h": F.xxhash64("text"), "terms": known_terms(F.col("text"), bits)})
-    base = subset_hashes(base, "terms", "print").drop("terms")
-    rows = with_next(base, ["text", "print", "h"], "doc_id", "h")
+    base = base.withColumns({"n_chars": F.char_length("text").cast("long"), "h": F.xxhash64("text")})
+
+    def printed(rows: DataFrame) -> DataFrame:
+        return subset_hashes(rows.withColumn("terms", known_terms(F.col("text"), bits)), "terms", "print").drop("terms")
+
+    rows = with_next(base, printed, ["text", "print", "h"], "doc_id", "h")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next.text", F.lit(1), quarter))
     rows = rows.select("doc_id", "n_chars", "print", "h", F.col("next.print").alias("next_print"), F.col("next.h").alias("next_h"), edited.alias("edited"))
