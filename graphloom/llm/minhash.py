@@ -218,7 +218,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the least id of their class, one row for each class."""
     texts, _ = text_classes(docs)
-    kept = texts.where("tid = class_id").select("_key", F.col("tid").alias("_tid"), "rows")
+    kept = texts.where("tid = class_id").groupBy(F.col("tid").alias("_tid")).agg(F.min(F.struct("_key", "rows")).alias("k")).select("_tid", "k._key", "k.rows")
     found = _identified(docs).join(kept, ["_key", "_tid"])
     once = found.where("rows = 1").select(*docs.columns)
     again = found.where("rows > 1").dropDuplicates(["_key", "_tid"]).select(*docs.columns)

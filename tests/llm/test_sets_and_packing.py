@@ -62,7 +62,7 @@ def test_similarity_is_the_probability_jaccard():
 def test_registers_agree_with_the_similarity():
     x, y = {k: 1 + k % 3 for k in range(60)}, {k: 1 + k % 4 for k in range(15, 75)}
     doc = np.array([0] * len(x) + [1] * len(y))
-    s = np.array([*x, *y], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    s = (np.array([*x, *y], np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     r = minhash.signatures(doc, s, np.array([*x.values(), *y.values()]), 2, size=4000)
     assert (r != 0).all()
     assert (r[0] == r[1]).mean() == pytest.approx(jp(collections.Counter(x), collections.Counter(y)), abs=0.03)
