@@ -77,7 +77,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _margin(doc: np.ndarray, w: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    out = np.bincount(doc, w, n)
+    out = np.bincount(doc, w, n).astype(float)
     for k in range(v.shape[1]):
         sums = np.bincount(doc, v[:, k], n)
         out += 0.5 * (sums * sums - np.bincount(doc, v[:, k] ** 2, n))
