@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import split_qualified
 from graphloom.plans.catalog import CodeGraph, in_path
-from graphloom.plans.traverse import levels
+from graphloom.plans import traverse
+from graphloom.plans.tables import durable
 from graphloom.schema import TOP_LEVEL
 
 COLUMNS = ("symbol_name", "file_path", "line", "kind")
 
 
-def _calls(g: CodeGraph) -> DataFrame:
+def _calls(g: CodeGraph, depth: int) -> DataFrame:
     """Call references with the file and the name of the calling symbol."""
     source = g.symbols.select(F.col("id").alias("source_symbol_id"), F.col("name").alias("source_name"), F.col("parent_id").alias("source_parent_id"))
     located = g.refs.where("kind = 'call'").join(g.paths(key="source_file_id"), "source_file_id")
-    return located.join(source, "source_symbol_id", "left")
+    calls = located.join(source, "source_symbol_id", "left")
+    # a deep walk reads them again at each level
+    return durable(calls, "calls") if depth > traverse.UNROLLED else calls
 
 
 def _as_callers(rows: DataFrame, *key: str) -> DataFrame:
@@ -29,7 +32,7 @@ def find_callers(g: CodeGraph, name: str, file: str | None = None, depth: int =
     """Who calls a name.  A qualifier must be the text written at the call; with a
     file, calls resolved to the name's symbols there, or unresolved by name."""
     bare, qualifier = split_qualified(name)
-    calls = _calls(g)
+    calls = _calls(g, depth)
     if file is None:
         first = calls.where(F.col("target_name") == bare)
         if qualifier is not None:
@@ -45,13 +48,13 @@ def find_callers(g: CodeGraph, name: str, file: str | None = None, depth: int =
     def expand(frontier: DataFrame) -> DataFrame:
         return _as_callers(calls.join(frontier.withColumnRenamed("name", "target_name"), "target_name", "left_semi"), "target_name").drop("target_name")
 
-    return levels(_as_callers(first), expand, "symbol_name", name, depth).select(*COLUMNS)
+    return traverse.levels(_as_callers(first), expand, "symbol_name", name, depth).select(*COLUMNS)
 
 
 def find_callees(g: CodeGraph, name: str, file: str | None = None, depth: int = 1) -> DataFrame:
     """What a name's symbols call, with the calling file; repeated calls stay."""
     bare, qualifier = split_qualified(name)
-    calls = _calls(g).where(F.col("source_name").isNotNull())
+    calls = _calls(g, depth).where(F.col("source_name").isNotNull())
     shape = lambda rows: rows.select(F.col("target_name").alias("symbol_name"), "file_path", "line", "kind")
     first = calls.where((F.col("source_name") == bare) & in_path("file_path", file))
     if qualifier is not None:
@@ -61,4 +64,4 @@ def find_callees(g: CodeGraph, name: str, file: str | None = None, depth: int =
     def expand(frontier: DataFrame) -> DataFrame:
         return shape(calls.join(frontier.withColumnRenamed("name", "source_name"), "source_name", "left_semi"))
 
-    return levels(shape(first), expand, "symbol_name", name, depth).select(*COLUMNS)
+    return traverse.levels(shape(first), expand, "symbol_name", name, depth).select(*COLUMNS)

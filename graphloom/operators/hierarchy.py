@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import CodeGraph
+from graphloom.plans.tables import durable
 from graphloom.plans.traverse import levels
 from graphloom.schema import INHERITANCE, TYPES
 
@@ -25,8 +26,8 @@ def _one(g: CodeGraph, name: str) -> DataFrame:
 
 
 def ancestors(g: CodeGraph, name: str) -> DataFrame:
-    links = _links(g)
-    homes = g.symbols.select("name", F.col("file_id").alias("source_file_id")).distinct()
+    links = durable(_links(g), "links")  # read again at each level
+    homes = durable(g.symbols.select("name", F.col("file_id").alias("source_file_id")).join(links.select("source_file_id"), "source_file_id", "left_semi").distinct(), "homes")
 
     def expand(frontier: DataFrame) -> DataFrame:
         # one row for each (name, reference): a reference counts for each name of its file
@@ -37,8 +38,8 @@ def ancestors(g: CodeGraph, name: str) -> DataFrame:
 
 
 def descendants(g: CodeGraph, name: str) -> DataFrame:
-    links = _links(g)
-    types = g.symbols.where(F.col("kind").isin(*TYPES)).select("name", F.col("file_id").alias("source_file_id"))
+    links = durable(_links(g), "links")  # read again at each level
+    types = durable(g.symbols.where(F.col("kind").isin(*TYPES)).select("name", F.col("file_id").alias("source_file_id")).join(links.select("source_file_id"), "source_file_id", "left_semi"), "types")
 
     def expand(frontier: DataFrame) -> DataFrame:
         hit = links.join(frontier.withColumnRenamed("name", "target_name"), "target_name", "left_semi")

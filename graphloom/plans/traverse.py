@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import durable
+from graphloom.plans.tables import durable, durable_counted
 from graphloom.schema import TOP_LEVEL
 
 UNROLLED = 3
@@ -34,8 +34,8 @@ def levels(first: DataFrame, expand: Callable[[DataFrame], DataFrame], follow: s
         named = out[-1].select(F.col(follow).alias("name")).where(F.col("name") != TOP_LEVEL).distinct()
         frontier = named.join(seen, "name", "left_anti")
         if deep:
-            frontier = durable(frontier, "frontier")
-            if frontier.isEmpty():
+            frontier, found = durable_counted(frontier, "frontier")
+            if not found:
                 break
         seen = seen.unionByName(frontier)
         out.append(expand(frontier).withColumn("depth", F.lit(depth)))
@@ -45,10 +45,10 @@ def levels(first: DataFrame, expand: Callable[[DataFrame], DataFrame], follow: s
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name): the seeds and all names that edges (source, target) lead to."""
     edges = durable(edges.distinct(), "edges")
-    frontier = durable(seeds.where("name is not null").distinct(), "frontier")
+    frontier, found = durable_counted(seeds.where("name is not null").distinct(), "frontier")
     seen = frontier
-    while not frontier.isEmpty():
+    while found:
         step = edges.join(frontier, edges.source == frontier.name, "left_semi").select(F.col("target").alias("name")).distinct()
-        frontier = durable(step.join(seen, "name", "left_anti"), "frontier")
+        frontier, found = durable_counted(step.join(seen, "name", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
