@@ -36,6 +36,7 @@ from graphloom.llm.components import components
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 LEFT, RIGHT = 256, 1024
+FILTER_BITS = 1 << 25
 U = np.uint64
 
 
@@ -148,6 +149,25 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_tid": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "_key": F.unhex(F.md5(text))})
 
 
+def _perhaps(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows (_tid, _key, text) whose _tid may be among asked (tid): a bitmap of
+    FILTER_BITS hashed ids keeps most other texts out of the shuffle that decides."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+    word = asked.select(place("tid").alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
+    found = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            kept = (sent.value[p >> 6] >> (p & 63)) & 1
+            yield batch.select(["_tid", "_key", "text"]).filter(pa.array(kept.astype(bool)))
+
+    return rows.select("_tid", "_key", "text", place("_tid").alias("p")).mapInArrow(run, "_tid long, _key binary, text string")
+
+
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: _key, tid, rows of that tid, class_id), (rows: doc_id, _tid, _key)."""
     spark = docs.sparkSession
@@ -168,14 +188,18 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = sigs.groupBy("_key", "_tid").agg(F.count("*").alias("rows"))
     texts = durable(each.groupBy("_key").agg(F.min("_tid").alias("tid"), F.min_by("rows", "_tid").alias("rows")), "texts")
     # one sketch for each text: that of its least id
-    banded = sigs.join(texts.select("_key", F.col("tid").alias("_tid")), ["_key", "_tid"], "left_semi").select(F.col("_tid").alias("tid"), F.explode("bands").alias("band")).distinct()
-    banded = durable(banded, "banded")
+    own = sigs.join(texts.select("_key", F.col("tid").alias("_tid"), "rows"), ["_key", "_tid"])
+    own = own.where("rows = 1").unionByName(own.where("rows > 1").dropDuplicates(["_key", "_tid"]))
+    banded = durable(own.select(F.col("_tid").alias("tid"), F.explode("bands").alias("band")), "banded")
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("tid").alias("rep"), F.bit_xor(F.xxhash64("tid")).alias("who")).where("n > 1")
     # bands that gather the same texts ask the same questions: one of them stays
     buckets = buckets.groupBy("who", "n", "rep").agg(F.min("band").alias("band"))
     members = durable(banded.join(buckets.select("band", "n", "rep"), "band"), "members")
     discard(banded)
-    bodies = durable(_identified(docs.select("doc_id", "text")).select(F.col("_tid").alias("tid"), "_key", "text").join(members.select("tid").distinct(), "tid", "left_semi").join(texts.select("_key", "tid"), ["_key", "tid"], "left_semi").dropDuplicates(["tid", "_key"]).select("tid", "text"), "bodies")
+    asked = members.select("tid").distinct()
+    bodies = _perhaps(_identified(docs.select("doc_id", "text")), asked).select(F.col("_tid").alias("tid"), "_key", "text")
+    bodies = bodies.join(asked, "tid", "left_semi").join(texts.select("_key", "tid"), ["_key", "tid"], "left_semi")
+    bodies = durable(bodies.dropDuplicates(["tid", "_key"]).select("tid", "text"), "bodies")
 
     star = members.where("tid <> rep").groupBy("rep", "tid").agg(F.max("n").alias("n"))
     star = star.withColumn("parts", F.ceil(F.col("n") / RIGHT)).withColumn("part", F.pmod(F.xxhash64("tid"), "parts"))
