@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.tables import shared_dir
+
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
@@ -19,19 +19,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a local one only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "graphloom.local.dir" not in _LOCAL:
-        _LOCAL["graphloom.local.dir"] = tempfile.mkdtemp(prefix="graphloom-")
-    return Path(_LOCAL["graphloom.local.dir"]).as_uri()
-
-
-_LOCAL: dict[str, str] = {}
-
-
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder as Parquet and reread: lineage is cut, and
     neither a lost executor nor a second use computes it again."""
