@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import render
 from graphloom.functions.text import last_segment
 from graphloom.operators import calls, hierarchy, imports, link, references, resolve, symbols, testing
+from graphloom.plans import expected
 from graphloom.plans.catalog import CodeGraph
-from graphloom.sources import bridge
+from graphloom.sources import bridge, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,5 +171,32 @@ def _register() -> None:
     _plain("link_parents", parents, lambda g: link.parents(g.symbols.select("id", "file_id", "name", F.col("id").alias("pos"), "parent_id").join(g.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name")), "parent_id").select("id", "file_id", "pos", "parent_name"), g.symbols.select("id", "file_id", "name", F.col("id").alias("pos"))))
     _plain("languages", "SELECT id, CASE regexp_extract(path, '([^.]*)$', 1) WHEN 'rs' THEN 'rust' WHEN 'php' THEN 'php' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' ELSE 'qml' END AS lang FROM files", lambda g: g.files.select("id", link.language_of(F.col("path")).alias("lang")))
 
+    said = "says AS (SELECT f.path, concat('open ', q.path, ' ', min(s.name)) AS content FROM files f JOIN symbols t ON t.file_id = f.id AND t.is_test = 1 JOIN files q ON q.id = f.id - f.id % 5 + 4 JOIN symbols s ON s.file_id = q.id AND s.kind IN ('function', 'method') GROUP BY f.path, q.path)"
+    mention = "EXISTS (SELECT 1 FROM says c WHERE contains(c.content, s.name) AND contains(c.content, f.path))"
+    _plain("untested_with_texts", f"{candidates} AND s.name NOT IN (SELECT name FROM reach) AND NOT (ends_with(f.path, '.qml') AND {mention})", lambda g: testing.find_untested(_with_texts(g)), EDGES, REACH, said)
+
+    line = "trim(concat(s.kind, ' ', s.name, ' ', f.path, ':', CAST(s.line_start AS VARCHAR), '-', CAST(s.line_end AS VARCHAR)))"
+    _plain("render_symbols", f"SELECT s.id, {line} AS line FROM {LOCATED} WHERE s.name = 'main'", lambda g: render.symbol_lines(symbols.find_symbols(g, "main")))
+    shown = "concat('  [', r.kind, '] ', coalesce(s.name, '<file-level>'), ' in ', f.path, ':', CAST(r.line AS VARCHAR))"
+    _plain("render_references", f"SELECT {shown} AS line FROM {CALLS} WHERE r.target_name = 'main'", lambda g: render.reference_lines(references.find_references(g, "main")))
+    obj = "concat('{\"file_path\":\"', f.path, '\",\"local_name\":\"', i.local_name, '\",\"full_path\":\"', i.full_path, '\",\"alias\":', CASE WHEN i.alias IS NULL THEN 'null' ELSE concat('\"', i.alias, '\"') END, ',\"line\":', CAST(i.line AS VARCHAR), '}')"
+    _plain("render_json", f"SELECT {obj} AS line FROM imports i JOIN files f ON i.file_id = f.id WHERE i.full_path ILIKE '%src::%'", lambda g: render.json_lines(imports.find_imported_by(g, "src::")))
+
+    for lang, (syms, refs, imps) in expected.EXTRACTED.items():
+        for part, names, rows in (("symbols", expected.SYMBOLS, syms), ("refs", expected.REFS, refs), ("imports", expected.IMPORTS, imps)):
+            key = f"extract_{lang}_{part}"
+            QUERIES[key] = lambda spark, _, lang=lang, part=part: samples.flat(samples.extracted(spark, lang), part)
+            ORACLES[key] = expected.values(names, rows)
+    QUERIES["ingest_index"] = lambda spark, _: samples.ingested(spark)
+    QUERIES["stream_watch"] = lambda spark, _: samples.watched(spark)
+
+
+def _with_texts(g: CodeGraph) -> CodeGraph:
+    """Texts for test files: each opens the .qml file of its block of five."""
+    tests = g.symbols.where("is_test = 1").select(F.col("file_id").alias("id")).distinct().join(g.files, "id").select("path", (F.col("id") - F.col("id") % 5 + 4).alias("file_id"))
+    first = g.symbols.where(F.col("kind").isin("function", "method")).groupBy("file_id").agg(F.min("name").alias("name"))
+    texts = tests.join(first, "file_id").join(g.paths(name="opened"), "file_id")
+    return CodeGraph(g.files, g.symbols, g.refs, g.imports, texts.select("path", F.concat_ws(" ", F.lit("open"), "opened", "name").alias("content")))
+
 
 _register()

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 Rows = Sequence[Any]
 
@@ -87,3 +88,22 @@ def status(row: Row) -> str:
 
 def resolution(row: Row) -> str:
     return f"Resolution: {row.resolved}/{row.total} resolved, {row.ambiguous} ambiguous, {row.unresolved} unresolved"
+
+
+def symbol_lines(df: DataFrame) -> DataFrame:
+    """symbols() as a column: one line a row, for results that stay distributed."""
+    head = F.concat(F.coalesce("visibility", F.lit("")), F.lit(" "), "kind", F.lit(" "), "name", F.lit(" "), "file_path", F.lit(":"), "line_start", F.lit("-"), "line_end")
+    more = F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit(" | "), "signature")).otherwise("")
+    return df.select("id", F.concat(F.trim(head), more).alias("line"))
+
+
+def reference_lines(df: DataFrame) -> DataFrame:
+    """references() as a column."""
+    source = F.coalesce("source_symbol", F.lit("<file-level>"))
+    resolved = F.when(F.col("resolved"), " [resolved]").otherwise("")
+    return df.select(F.concat(F.lit("  ["), "kind", F.lit("] "), source, F.lit(" in "), "source_file", F.lit(":"), "line", resolved).alias("line"))
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """to_json() as a column: one object a row, nulls written out."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
