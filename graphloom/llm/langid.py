@@ -97,7 +97,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_texts(langs: list[str], texts: list[str], centroids: int = 4, slack: float = 0.6) -> Centroids:
+def fit_texts(langs: list[str], texts: list[str], centroids: int = 4, slack: float = 0.35) -> Centroids:
     data, offsets = B.text_bytes(pa.array(texts, pa.string()))
     seen = np.zeros(DIMS)
     for _, tf in counts(data, offsets):
@@ -113,7 +113,7 @@ def fit_texts(langs: list[str], texts: list[str], centroids: int = 4, slack: flo
     return Centroids([lang for lang, c in out for _ in c], idf, np.concatenate([c for _, c in out]), np.repeat(least, [len(c) for _, c in out]))
 
 
-def fit(docs: DataFrame, held_out: Column, sample: int = 400, languages: int = 100, centroids: int = 4, slack: float = 0.6) -> Centroids | None:
+def fit(docs: DataFrame, held_out: Column, sample: int = 400, languages: int = 100, centroids: int = 4, slack: float = 0.35) -> Centroids | None:
     bounded_batches(docs.sparkSession)
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in docs.where(~held_out & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
