@@ -9,9 +9,10 @@ spherical k-means.  The language of the centroid with the largest cosine wins
 A text is rejected by distance if its cosine lies below `slack` times the
 0.5 % quantile of what its own language's sample reaches.
 
-Fit on a bounded sample: per language the `sample` training rows of lowest
-xxhash64(doc_id), at most `languages` languages (the most frequent).  Whole
-texts are used everywhere.
+Every language of the training rows is learned, each from a bounded sample: its
+`sample` rows of lowest xxhash64(doc_id).  Whole texts are used everywhere.
+Centroids are made per language on the executors; the driver gets only them
+(32 KB each, `centroids` a language at most), never texts.
 
 Defined cases: null, empty or letterless text: `und`, score 0, rejected.  No
 training rows: `und` for all.  Repeated rows each get a row.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches
+from graphloom.llm.common import bounded_batches, durable
 
 DIMS = 1 << 13
 _MAP = np.full(256, 32, np.uint8)
@@ -97,34 +98,49 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_texts(langs: list[str], texts: list[str], centroids: int = 4, slack: float = 0.35) -> Centroids:
-    data, offsets = B.text_bytes(pa.array(texts, pa.string()))
-    seen = np.zeros(DIMS)
-    for _, tf in counts(data, offsets):
-        seen += (tf > 0).sum(0)
-    idf = (np.log((1 + len(texts)) / (1 + seen)) + 1).astype(np.float32)
-    rows = np.concatenate([vectors(tf, idf) for _, tf in counts(data, offsets)])
-    names, out, least = np.array(langs), [], []
-    for lang in sorted(set(langs)):
-        x = rows[names == lang]
-        c = _kmeans(x, centroids, 11)
-        out.append((lang, c))
-        least.append(slack * float(np.quantile((x @ c.T).max(1), 0.005)))
-    return Centroids([lang for lang, c in out for _ in c], idf, np.concatenate([c for _, c in out]), np.repeat(least, [len(c) for _, c in out]))
+def _frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those that hold each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(DIMS + 1, np.int64)  # the last counts rows
+        for batch in batches:
+            seen[DIMS] += len(batch)
+            for _, tf in counts(*B.text_bytes(batch.column("text"))):
+                seen[:DIMS] += (tf > 0).sum(0)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
+
+    seen = np.zeros(DIMS + 1, np.int64)
+    for r in rows.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        seen[r.term] = r.n
+    return int(seen[DIMS]), seen[:DIMS]
 
 
-def fit(docs: DataFrame, held_out: Column, sample: int = 400, languages: int = 100, centroids: int = 4, slack: float = 0.35) -> Centroids | None:
+def fit(docs: DataFrame, held_out: Column, sample: int = 400, centroids: int = 4, slack: float = 0.35) -> Centroids | None:
     bounded_batches(docs.sparkSession)
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in docs.where(~held_out & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not sizes:
-        return None
-    # thin out by hash before ranking, so that no language's rows meet in one task
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 3.0 * sample / n))) for k, n in sizes.items()])
-    thin = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    training = docs.where(~held_out & F.col("lang").isNotNull())
+    rows = training.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    # thin out by hash before ranking, so that no language's rows meet in one task;
+    # only languages of more than 3 * sample rows need a share
+    sizes = training.groupBy("lang").count().where(F.col("count") > 3 * sample).select("lang", (F.lit(3.0 * sample) / F.col("count")).alias("_share"))
+    thin = rows.join(F.broadcast(sizes), "lang", "left").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce("_share", F.lit(1.0)) * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    got = thin.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang", "text").orderBy("lang", "doc_id", "text").collect()
-    return fit_texts([r.lang for r in got], [r.text for r in got], centroids, slack) if got else None
+    got = durable(thin.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang", "text"), "language_rows")
+    n, seen = _frequencies(got)
+    if not n:
+        return None
+    idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        x = np.concatenate([vectors(tf, idf) for _, tf in counts(*B.text_bytes(group.column("text")))])
+        c = _kmeans(x, centroids, 11)
+        least = slack * float(np.quantile((x @ c.T).max(1), 0.005))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "c": pa.array([row.astype(np.float32).tobytes() for row in c], pa.binary()), "least": pa.array([least] * len(c))})
+
+    # stable: a language's centroids stay in their order
+    made = sorted(got.groupBy("lang").applyInArrow(one, "lang string, c binary, least double").collect(), key=lambda r: r.lang)
+    return Centroids([r.lang for r in made], idf, np.stack([np.frombuffer(r.c, np.float32) for r in made]), np.array([r.least for r in made]))
 
 
 def predict(docs: DataFrame, model: Centroids | None, kept: list[str] | None = None) -> DataFrame:

@@ -220,3 +220,18 @@ def test_language_by_centroids(spark):
     assert langid.predict(frame(spark, []), model).count() == 0
     assert langid.fit(frame(spark, []), held) is None
     assert {r.lang_pred for r in langid.predict(docs.limit(3), None).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """130 languages, each with letters of its own: none goes without centroids."""
+    texts, langs = [], []
+    for k in range(130):
+        own = chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k)
+        for j in range(4):
+            texts.append(" ".join([own, own + own[0], own[1] * 2] * (3 + j)))
+            langs.append(f"l{k:03d}")
+    docs = frame(spark, texts, langs=langs)
+    model = langid.fit(docs, remainder_is_two("doc_id", 4))
+    assert set(model.langs) == set(langs) and model.langs == sorted(model.langs)
+    rows = langid.predict(docs, model, ["doc_id", "lang"]).collect()
+    assert len(rows) == len(texts) and all(r.lang == r.lang_pred and not r.rejected for r in rows)
