@@ -9,8 +9,9 @@ spherical k-means.  The language of the centroid with the largest cosine wins
 A text is rejected by distance if its cosine lies below `slack` times the
 0.5 % quantile of what its own language's sample reaches.
 
-Every language of the training rows is learned, each from a bounded sample: its
-`sample` rows of lowest xxhash64(doc_id).  Whole texts are used everywhere.
+idf counts all training rows with letters.  Every language of them is learned,
+its centroids from a bounded sample: its `sample` rows of lowest
+xxhash64(doc_id).  Whole texts are used everywhere.
 Centroids are made per language on the executors; the driver gets only them
 (32 KB each, `centroids` a language at most), never texts.
 
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, held_out: Column, sample: int = 400, centroids: int = 4
     thin = rows.join(F.broadcast(sizes), "lang", "left").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce("_share", F.lit(1.0)) * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     got = durable(thin.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang", "text"), "language_rows")
-    n, seen = _frequencies(got)
+    n, seen = _frequencies(rows)
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
@@ -140,6 +141,8 @@ def fit(docs: DataFrame, held_out: Column, sample: int = 400, centroids: int = 4
 
     # stable: a language's centroids stay in their order
     made = sorted(got.groupBy("lang").applyInArrow(one, "lang string, c binary, least double").collect(), key=lambda r: r.lang)
+    if not made:
+        return None
     return Centroids([r.lang for r in made], idf, np.stack([np.frombuffer(r.c, np.float32) for r in made]), np.array([r.least for r in made]))
 
 

@@ -235,3 +235,13 @@ def test_every_language_is_learned(spark):
     assert set(model.langs) == set(langs) and model.langs == sorted(model.langs)
     rows = langid.predict(docs, model, ["doc_id", "lang"]).collect()
     assert len(rows) == len(texts) and all(r.lang == r.lang_pred and not r.rejected for r in rows)
+
+
+def test_gram_frequencies_come_from_all_training_rows(spark):
+    texts = [f"abc {'xyz' * (k % 7 == 0)} def" for k in range(60)] + ["sch ung"] * 6
+    docs = frame(spark, texts, langs=["aa"] * 60 + ["bb"] * 6)
+    held = remainder_is_two("doc_id", 4)
+    model = langid.fit(docs, held, sample=5)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = sum((tf > 0).sum(0) for _, tf in langid.counts(*B.text_bytes(pa.array(train))))
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + seen)) + 1, atol=1e-6)
