@@ -57,23 +57,25 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, bounds, document of each segment); see pieces()."""
-    for part, bounds, docs, _ in pieces(data, offsets, limit):
+    for part, bounds, docs, _, _ in pieces(data, offsets, limit):
         yield part, bounds, docs
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK, reach: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool, np.ndarray]]:
     """(bytes, bounds, document of each segment, whether segments end their
-    documents), at most about `limit` bytes each.
+    documents, the document's up to `reach` bytes before them), at most about
+    `limit` bytes each.
 
     A longer document is cut after white space (or, in a word longer than the
     limit, after that word), so that no word is cut and memory stays bounded.
     """
-    n, at = len(offsets) - 1, 0
+    n, at, none = len(offsets) - 1, 0, data[:0]
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        lo, hi = offsets[at], offsets[end]
+        begin, hi = offsets[at], offsets[end]
+        lo = begin
         if hi - lo <= limit:
-            yield data[lo:hi], offsets[at : end + 1] - lo, np.arange(at, end), True
+            yield data[lo:hi], offsets[at : end + 1] - lo, np.arange(at, end), True, none
         else:
             while lo < hi:
                 cut = min(lo + limit, hi)
@@ -83,7 +85,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterato
                         cut += gap[0] + 1
                         break
                     cut = min(cut + 65536, hi)
-                yield data[lo:cut], np.array([0, cut - lo]), np.array([at]), cut == hi
+                yield data[lo:cut], np.array([0, cut - lo]), np.array([at]), cut == hi, data[max(begin, lo - reach) : lo]
                 lo = cut
         at = end
 

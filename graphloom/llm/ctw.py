@@ -1,24 +1,32 @@
 """LM scoring by context-tree weighting over bytes.
 
 A text is its UTF-8 bytes (A-Z lowered) and one end symbol, 0xFF, which UTF-8
-never holds; before the text stand DEPTH more of them.  Each byte is eight
+never holds; before the text stand `depth` more of them.  Each byte is eight
 binary decisions, the high bit first.  A decision's estimate mixes, over all
-depths of its context tree, the Krichevsky-Trofimov estimates of its contexts:
-at a node, KT has the weight a = Pe / (Pe + product of the children's weighted
-probabilities) / with equal priors, both from the training counts, and the child
-has 1 - a.
-
-The tree holds every context of up to DEPTH bytes with at least `share` of the
-training bytes, so at most DEPTH / share nodes at any input; a node's other
-contexts share one leaf with the rest of its counts.  Counting covers all
-training texts; only the contexts above that share reach the driver.
-
-The base model counts words in all training texts.  Words with at least
-`word_share` of the training words (at most 1 / word_share of them) go to the
-executors as a table; the rest are counted and joined by hash, so no key is hot.
+depths of its context tree, the Krichevsky-Trofimov estimates of its contexts: at
+a node, KT has the weight Pe / (Pe + product of the children's weighted
+probabilities), with equal priors and both from the training counts, and the
+child has what is left.  A context never seen says one half.
+
+The tree holds every context of up to `depth` bytes of the training texts, so it
+grows with them; it is a table, never a driver's or a worker's object.  Its
+counts are those of the distinct grams (a context and its symbol).  The two
+deepest levels are computed by the task that has their common ancestor (2**24
+grams at most, whatever the input), the next ones by grouping, and the driver
+sees the contexts of depth - 4 bytes only (2**16 at depth 6).  The result is the
+log probability of each gram.
+
+Scoring looks grams up.  Those with at least `gram_share` of all positions, and
+words with at least `word_share` of all words, are sent to the workers (1 / share
+of them at most); every other one is joined by its key, which no more than that
+share of the positions hold.
+
+The base model counts words in all training texts.
 
 Defined cases: null text counts as empty and has only the end.  Texts above a
-megabyte start a new context at a cut.  Equal (id, text) rows each get a row.
+megabyte are worked on in pieces, each of which knows the bytes before it, so a
+length changes no score.  Each row of docs gives a row, equal ones too.  Empty
+tables: no rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,34 +40,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches, durable
+from graphloom.llm.common import bounded_batches, discard, durable
 
-DEPTH = 5
+DEPTH = 6
 END = 255
 END_WORD = np.array([0x5EED0E4D], np.uint64)
+WORD, GRAM = 0, 1
+HELD = 3_000_000  # keys that a task merges before it gives them out
+U = np.uint64
+
 
+def coded(data: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, document) of every position: a symbol in the lowest byte, under it
+    in the next ones its context, the nearest byte first."""
+    for part, bounds, docs, ends, before in B.pieces(data, offsets, reach=depth):
+        segments = len(bounds) - 1
+        owner = np.repeat(np.arange(segments), np.diff(bounds))
+        out = np.full(len(part) + segments * (depth + ends), END, np.int64)
+        at = np.arange(len(part)) + (depth + ends) * owner + depth
+        out[at] = B.LOWER[part]
+        out[depth - len(before) : depth] = B.LOWER[before]
+        if ends:
+            at = np.concatenate([at, bounds[1:] + (depth + 1) * np.arange(1, segments + 1) - 1])
+            owner = np.concatenate([owner, np.arange(segments)])
+        code = out.copy()
+        for j in range(1, depth + 1):
+            code[j:] |= out[:-j] << (8 * j)
+        yield code[at], docs[owner]
 
-def padded(part: np.ndarray, bounds: np.ndarray, ends: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with their paddings, positions to code, segment of each)."""
-    segments, sizes = len(bounds) - 1, np.diff(bounds)
-    owner = np.repeat(np.arange(segments), sizes)
-    out = np.full(len(part) + segments * (depth + ends), END, np.uint8)
-    at = np.arange(len(part)) + (depth + ends) * owner + depth
-    out[at] = B.LOWER[part]
-    if not ends:
-        return out, at, owner
-    finish = bounds[1:] + (depth + 1) * np.arange(1, segments + 1) - 1
-    at, owner = np.concatenate([at, finish]), np.concatenate([owner, np.arange(segments)])
-    order = np.argsort(at, kind="stable")
-    return out, at[order], owner[order]
 
+# --- the tree -----------------------------------------------------------------
+# A decision is a context (of `level` bytes) and one of the 255 inner nodes of a
+# symbol's eight bits, in one integer: context << 8 | node.
 
-def grams(out: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Symbol and its context in one integer; the symbol is the lowest byte."""
-    code = np.zeros(len(at), np.int64)
-    for j in range(depth + 1):
-        code |= out[at - j].astype(np.int64) << (8 * j)
-    return code
+
+def _parent(key, level: int):  # noqa: ANN001, ANN202
+    """Of a decision of `level`: that of the context without its oldest byte."""
+    return ((key >> 8) & ((1 << 8 * (level - 1)) - 1)) << 8 | (key & 255)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -71,145 +88,218 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n x 256 symbol counts to zeros and ones at the 255 inner nodes (heap order, 1-based)."""
-    n = len(counts)
-    tree = np.zeros((n, 512))
-    tree[:, 256:] = counts
-    for level in range(7, -1, -1):
-        lo = 1 << level
-        tree[:, lo : 2 * lo] = tree[:, 2 * lo : 4 * lo : 2] + tree[:, 2 * lo + 1 : 4 * lo : 2]
-    return tree[:, 2:512:2], tree[:, 3:512:2]
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - 1.1447298858494002
 
 
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - 1.1447298858494002
+def _own_share(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(below - _log_kt(zeros, ones), -700, 700)))
 
 
 @dataclass
-class Tree:
-    """child[inner node, symbol] walks to older symbols; states from len(child)
-    on are leaves, and logp[leaf, symbol] is log10 of the symbol's probability."""
-
-    depth: int
-    child: np.ndarray
-    logp: np.ndarray
-
-    def walk(self, out: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The leaf of each position."""
-        inner = len(self.child)
-        state = np.full(len(at), -1 if inner else 0, np.int32)
-        if inner:
-            state[:] = self.child[0, out[at - 1]]
-            for j in range(2, self.depth + 1):
-                on = np.flatnonzero(state < inner)
-                state[on] = self.child[state[on], out[at[on] - j]]
-        return state - inner
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(offsets) - 1)
-        for part, bounds, docs, ends in B.pieces(data, offsets):
-            out, at, owner = padded(part, bounds, ends, self.depth)
-            total[docs] += np.bincount(owner, self.logp[self.walk(out, at), out[at]], len(docs))
-        return total
-
-
-class _Rows:
-    """Sparse symbol counts of a level's nodes, dense for one block at a time."""
-
-    def __init__(self, n: int, node: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> None:
-        order = np.argsort(node, kind="stable")
-        self.n, self.node, self.symbol, self.count = n, node[order], symbol[order], count[order]
-
-    def blocks(self, size: int = 2048) -> Iterator[tuple[slice, np.ndarray]]:
-        for lo in range(0, self.n, size):
-            hi = min(lo + size, self.n)
-            i, j = np.searchsorted(self.node, [lo, hi])
-            flat = np.bincount((self.node[i:j] - lo) * 256 + self.symbol[i:j], self.count[i:j], (hi - lo) * 256)
-            yield slice(lo, hi), np.maximum(flat, 0).reshape(hi - lo, 256)
-
-
-def build(depth: int, level: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> Tree:
-    """The tree of the given (level, context, symbol, count) rows.
-
-    Every context's parent (without its oldest symbol) must be there too.
-    """
-    keys = [np.unique(context[level == d]) for d in range(depth + 1)]
-    if not len(keys[0]):
-        keys[0] = np.zeros(1, np.int64)
-    size = [len(k) for k in keys]
-    parent = [np.searchsorted(keys[d - 1], keys[d] & ((1 << 8 * (d - 1)) - 1)) if d else np.zeros(0, int) for d in range(depth + 1)]
-    of = []
-    for d in range(depth + 1):
-        rows = level == d
-        of.append((np.searchsorted(keys[d], context[rows]), symbol[rows], count[rows].astype(float)))
-    own = [_Rows(size[d], *of[d]) for d in range(depth + 1)]
-    rest = [_Rows(size[d], np.concatenate([of[d][0], parent[d + 1][of[d + 1][0]]]), np.concatenate([of[d][1], of[d + 1][1]]), np.concatenate([of[d][2], -of[d + 1][2]])) for d in range(depth)]
-    # upwards: log of the weighted probability of all training data at each decision
-    share: list[np.ndarray] = [np.zeros(0)] * depth
-    below = np.zeros((size[depth], 255))
-    for at, c in own[depth].blocks():
-        below[at] = _log_kt(*_bits(c))
-    for d in range(depth - 1, -1, -1):
-        split = np.zeros((size[d], 255))
-        np.add.at(split, parent[d + 1], below)
-        for at, c in rest[d].blocks():
-            split[at] += _log_kt(*_bits(c))
-        share[d], below = np.zeros((size[d], 255), np.float32), split
-        for at, c in own[d].blocks():
-            kt = _log_kt(*_bits(c))
-            share[d][at] = 1 / (1 + np.exp(np.clip(split[at] - kt, -700, 700)))
-            below[at] = np.logaddexp(kt, split[at]) - np.log(2)
-    # downwards: what shallower nodes say, and the weight left for deeper ones
-    start = np.concatenate(([0], np.cumsum(size)))
-    inner = int(start[depth])
-    child = np.zeros((inner, 256), np.int32)
-    logp = np.zeros((inner + size[depth], 256), np.float32)
-    above, weight = np.zeros((1, 255)), np.ones((1, 255))
-    for d in range(depth):
-        if d:
-            above, weight = above[parent[d]], weight[parent[d]]
-        for at, c in own[d].blocks():
-            above[at] += weight[at] * share[d][at] * _kt(c)
-        weight = weight * (1 - share[d])
-        # the leaf for the rest of inner node k is state inner + k
-        child[start[d] : start[d + 1]] = inner + np.arange(start[d], start[d + 1])[:, None]
-        # a node of the last level is a leaf itself, after those of the inner nodes
-        first = start[d + 1] if d + 1 < depth else 2 * inner
-        child[start[d] + parent[d + 1], keys[d + 1] >> (8 * d) & 255] = first + np.arange(size[d + 1])
-        for at, c in rest[d].blocks():
-            logp[start[d] + at.start : start[d] + at.stop] = _symbols(above[at] + weight[at] * _kt(c))
-    above, weight = (above[parent[depth]], weight[parent[depth]]) if depth else (above, weight)
-    for at, c in own[depth].blocks():
-        logp[inner + at.start : inner + at.stop] = _symbols(above[at] + weight[at] * _kt(c))
-    return Tree(depth, child, logp)
-
-
-def _kt(counts: np.ndarray) -> np.ndarray:
-    a, b = _bits(counts)
-    return (b + 0.5) / (a + b + 1)
-
-
-def _symbols(one: np.ndarray) -> np.ndarray:
-    """n x 255 probabilities of a one to n x 256 log10 probabilities of symbols."""
-    n = len(one)
-    tree = np.zeros((n, 512))
-    yes, no = np.log10(one), np.log10(1 - one)
-    for level in range(8):
-        lo = 1 << level
-        tree[:, 2 * lo : 4 * lo : 2] = tree[:, lo : 2 * lo] + no[:, lo - 1 : 2 * lo - 1]
-        tree[:, 2 * lo + 1 : 4 * lo : 2] = tree[:, lo : 2 * lo] + yes[:, lo - 1 : 2 * lo - 1]
-    return tree[:, 256:].astype(np.float32)
+class Level:
+    """Distinct decisions of one level: zeros, ones, and the log of the product
+    of the children's weighted probabilities (None at the deepest level)."""
+
+    key: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    below: np.ndarray | None
+
+    def weighted(self) -> np.ndarray:
+        kt = _log_kt(self.zeros, self.ones)
+        return kt if self.below is None else np.logaddexp(kt, self.below) - np.log(2)
+
+    def up(self, level: int) -> tuple[Level, np.ndarray]:
+        """The level above, and the place in it of each decision's parent."""
+        key, at = np.unique(_parent(self.key, level), return_inverse=True)
+        sums = [np.bincount(at, x, len(key)) for x in (self.zeros, self.ones, self.weighted())]
+        return Level(key, *sums), at
+
+    def mixed(self, above: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What contexts up to this level say of a one, and the weight left below."""
+        one = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        if self.below is None:
+            return above + weight * one, weight * 0
+        share = _own_share(self.zeros, self.ones, self.below)
+        return above + weight * share * one, weight * (1 - share)
+
+
+def decisions(gram: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The deepest level of these grams; the eight decisions and bits of each."""
+    symbol = gram & 255
+    node = np.stack([(256 | symbol) >> (8 - k) for k in range(8)])
+    bit = np.stack([symbol >> (7 - k) & 1 for k in range(8)])
+    key, at = np.unique(((gram >> 8) << 8) | node, return_inverse=True)
+    at = at.reshape(node.shape)
+    count = np.broadcast_to(n, bit.shape)
+    ones = np.bincount(at.ravel(), (count * bit).ravel(), len(key))
+    zeros = np.bincount(at.ravel(), (count * (1 - bit)).ravel(), len(key))
+    return Level(key, zeros, ones, None), at, bit
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], column: str, least: int = 50_000) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by `column`, in blocks that cut no group of it."""
+    held: list[pa.RecordBatch] = []
+
+    def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+        return {c: table.column(c).to_numpy() for c in table.column_names}
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            table = pa.Table.from_batches(held)
+            group = table.column(column).to_numpy()
+            cut = int(np.searchsorted(group, group[-1], "left"))
+            if cut:
+                yield arrays(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held and sum(map(len, held)):
+        yield arrays(pa.Table.from_batches(held))
+
+
+def _sql_lgamma(x: Column) -> Column:
+    shift = x
+    for j in range(1, 8):
+        shift = shift * (x + j)
+    y = x + 8
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(shift)
+
+
+def _sql_kt() -> Column:
+    zeros, ones = F.col("zeros"), F.col("ones")
+    return _sql_lgamma(zeros + 0.5) + _sql_lgamma(ones + 0.5) - _sql_lgamma(zeros + ones + 1) - 1.1447298858494002
+
+
+def _sql_up(rows: DataFrame, level: int) -> DataFrame:
+    """Decisions (key, zeros, ones, below) of `level` to those of the level above."""
+    parent = F.shiftleft(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (level - 1)) - 1)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    kt = rows.withColumn("kt", _sql_kt())
+    weighted = F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - float(np.log(2))
+    return kt.groupBy(parent.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(weighted).alias("below"))
+
+
+def _sql_mixed(rows: DataFrame, above: DataFrame, level: int) -> DataFrame:
+    """(key, above, weight) of `level`, from those of the level above it."""
+    parent = F.shiftleft(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (level - 1)) - 1)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    both = rows.withColumn("parent", parent).join(above.withColumnRenamed("key", "parent"), "parent").withColumn("kt", _sql_kt())
+    share = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("below") - F.col("kt")))))
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    return both.select("key", (F.col("above") + F.col("weight") * share * one).alias("above"), (F.col("weight") * (1 - share)).alias("weight"))
+
+
+def gram_logs(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, value): log10 of the probability of each gram's symbol after its
+    context.  grams: key, n, one row for each gram; n counts training only."""
+    root = depth - 2
+    top = max(0, root - 2)
+    at_root = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * root) - 1))
+
+    def upwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_groups(batches, "root"):
+            level = decisions(x["key"], x["n"].astype(float))[0]
+            for d in (depth, depth - 1):
+                level, _ = level.up(d)
+            yield pa.RecordBatch.from_arrays([pa.array(level.key), pa.array(level.zeros), pa.array(level.ones), pa.array(level.below)], names=["key", "zeros", "ones", "below"])
+
+    rooted = grams.select(at_root.alias("root"), "key", "n")
+    placed = rooted.repartition("root").sortWithinPartitions("root")
+    levels = {root: durable(placed.mapInArrow(upwards, "key long, zeros double, ones double, below double"), "level")}
+    for d in range(root, top, -1):
+        levels[d - 1] = durable(_sql_up(levels[d], d), "level")
+    # at most 2**16 contexts of 255 decisions, whatever the input
+    first = levels[top].toPandas().sort_values("key")
+    chain = [(Level(*(first[c].to_numpy() for c in ("key", "zeros", "ones", "below"))), None)]
+    for d in range(top, 0, -1):
+        chain.append(chain[-1][0].up(d))
+    above, weight = np.zeros(len(chain[-1][0].key)), np.ones(len(chain[-1][0].key))
+    for i in range(len(chain) - 1, -1, -1):
+        above, weight = chain[i][0].mixed(above, weight)
+        if i:
+            above, weight = above[chain[i][1]], weight[chain[i][1]]
+    said = pa.table({"key": pa.array(chain[0][0].key, pa.int64()), "above": pa.array(above, pa.float64()), "weight": pa.array(weight, pa.float64())})
+    mixed = grams.sparkSession.createDataFrame(said)
+    for d in range(top + 1, root + 1):
+        mixed = _sql_mixed(levels[d], mixed, d)
+
+    def downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_groups(batches, "root"):
+            gram = x["gram"]
+            key, n = x["key"][gram], x["n"][gram]
+            if not len(key):
+                continue
+            order = np.argsort(x["key"][~gram])
+            above, weight = x["above"][~gram][order], x["weight"][~gram][order]
+            deepest, at, bit = decisions(key, n.astype(float))
+            middle, to_middle = deepest.up(depth)
+            _, to_root = middle.up(depth - 1)  # the same decisions as those that came along, in order
+            a, w = middle.mixed(above[to_root], weight[to_root])
+            one, _ = deepest.mixed(a[to_middle], w[to_middle])
+            p = np.where(bit, one[at], 1 - one[at])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log10(p).sum(0))], names=["key", "value"])
+
+    none = F.lit(None)
+    asked = rooted.select("root", "key", "n", none.cast("double").alias("above"), none.cast("double").alias("weight"), F.lit(True).alias("gram"))
+    given = mixed.select(F.shiftright("key", 8).alias("root"), "key", F.lit(0).cast("long").alias("n"), "above", "weight", F.lit(False).alias("gram"))
+    both = asked.unionByName(given).repartition("root").sortWithinPartitions("root")
+    out = durable(both.mapInArrow(downwards, "key long, value double"), "logs")
+    for rows in levels.values():
+        discard(rows)
+    return out
+
+
+# --- learning and scoring -----------------------------------------------------
+
+
+class Lookup:
+    """Values of a bounded number of keys, in open tables of a power of two slots.
+    Of keys that meet in a slot the first stays, the others go to a next table; the
+    few that find no place are as unknown as keys that were never given."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, tables: int = 3) -> None:
+        self.tables = []
+        for salt in range(1, tables + 1):
+            if not len(keys):
+                break
+            bits = max(4, int(len(keys)).bit_length() + 1)
+            slot = self._slot(keys, salt, bits)
+            first = np.zeros(1 << bits, np.int64)
+            first[slot[::-1]] = np.arange(len(keys))[::-1]
+            own = first[slot] == np.arange(len(keys))
+            table, value = np.zeros(1 << bits, U), np.full(1 << bits, np.nan)
+            table[slot[own]], value[slot[own]] = keys[own], values[own]
+            self.tables.append((salt, bits, table, value))
+            keys, values = keys[~own], values[~own]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, salt: int, bits: int) -> np.ndarray:
+        return (B.mix(keys, salt) >> U(64 - bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, nan where unknown."""
+        out = np.full(len(keys), np.nan)
+        todo = slice(None)
+        for salt, bits, table, value in self.tables:
+            k = keys[todo]
+            slot = self._slot(k, salt, bits)
+            hit = table[slot] == k
+            out[todo] = np.where(hit, value[slot], np.nan)
+            miss = np.flatnonzero(~hit)
+            todo = miss if isinstance(todo, slice) else todo[miss]
+            if not len(todo):
+                break
+        return out
 
 
 @dataclass
 class Model:
-    tree: Tree
     total: int  # N: training tokens
     distinct: int  # V
-    frequent: np.ndarray  # sorted hashes of frequent words
-    frequent_count: np.ndarray
-    words: DataFrame  # h, c of all training words
+    depth: int
+    words: tuple[np.ndarray, np.ndarray]  # frequent words and their training counts
+    grams: tuple[np.ndarray, np.ndarray]  # frequent grams and their log10 probability
+    counts: DataFrame  # kind, key, value: all words (training count) and grams (log10 probability)
+    seen: DataFrame  # key, n: all grams and their training counts
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,97 +307,122 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float = 1e-5, word_share: float = 1e-6) -> Model:
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, gram_share: float = 4e-8, word_share: float = 3e-7) -> Model:
+    """The model of the rows that are not held out.  The others' words and grams
+    get rows too, with their count of zero, so that every one can be looked up."""
+    bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        size = [0, 0]
+        held: dict[tuple[int, bool], list] = {(kind, out): [] for kind in (WORD, GRAM) for out in (False, True)}
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, counts = _merged(held[kind])
-            held[kind].clear()
-            size[kind] = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
+        def out(what: tuple[int, bool]) -> pa.RecordBatch:
+            keys, counts = _merged(held[what])
+            held[what].clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), what[0], np.int8)), pa.array(np.full(len(keys), what[1])), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "held", "key", "n"])
+
+        def put(what: tuple[int, bool], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(keys):
+                held[what].append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in held[what]) > HELD:
+                    held[what][:] = [_merged(held[what])]
+                    if len(held[what][0][0]) > HELD * 2 // 3:  # give out only what stays large
+                        yield out(what)
 
         for batch in batches:
             data, offsets = B.text_bytes(batch.column("text"))
-            h, _ = B.words(data, offsets)
-            fresh = [(0, np.unique(h, return_counts=True)), (0, (END_WORD, np.array([len(batch)])))]
-            for part, bounds, _, ends in B.pieces(data, offsets):
-                fresh.append((1, np.unique(grams(*padded(part, bounds, ends, depth)[:2], depth), return_counts=True)))
-            for kind, found in fresh:
-                held[kind].append(found)
-                size[kind] += len(found[0])
-                if size[kind] > 1_500_000:  # merge; give out only what stays large
-                    held[kind][:] = [_merged(held[kind])]
-                    size[kind] = len(held[kind][0][0])
-                    if size[kind] > 1_000_000:
-                        yield out(kind)
-        for kind in (0, 1):
-            if held[kind]:
-                yield out(kind)
-
-    counts = docs.where(~held_out).select("text").mapInArrow(counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = durable(counts, "counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
-    n, v = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
+            apart = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            h, doc = B.words(data, offsets)
+            for held_ in (False, True):
+                yield from put((WORD, held_), np.concatenate([h[apart[doc] == held_], np.repeat(END_WORD, (apart == held_).sum())]))
+            for code, doc in coded(data, offsets, depth):
+                for held_ in (False, True):
+                    yield from put((GRAM, held_), code[apart[doc] == held_])
+        for what in held:
+            if held[what]:
+                yield out(what)
+
+    found = docs.select("text", F.coalesce(held_out, F.lit(False)).alias("held")).mapInArrow(counted, "kind byte, held boolean, key long, n long")
+    counts = durable(found.groupBy("kind", "key").agg(F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("n"), F.sum("n").alias("all")), "counts")
+    words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == GRAM)
+    n, v, every = (int(x or 0) for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("all")).first())
+    positions = int(grams.agg(F.sum("all")).first()[0] or 0)
+    logs = gram_logs(grams.select("key", "n"), depth)
     end = int(END_WORD.view(np.int64)[0])
-    hot = words.where((F.col("c") >= max(1, word_share * n)) | (F.col("h") == end)).toPandas()  # at most 1 / word_share rows, and the end
-    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    masked = lambda d: F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-    levels = F.explode(F.array(*[F.struct(F.lit(d).cast("byte").alias("d"), masked(d).alias("g")) for d in range(depth + 1)])).alias("x")
-    seen = durable(counts.where("kind = 1").select(levels, "n").groupBy("x.d", "x.g").agg(F.sum("n").alias("n")), "grams")
-    context = F.shiftright("g", 8)
-    least = max(1.0, share * int(seen.where("d = 0").agg(F.sum("n")).first()[0] or 0))
-    kept = seen.groupBy("d", context.alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("d", "context")
-    rows = seen.withColumn("context", context).join(kept, ["d", "context"]).select("d", "context", F.col("g").bitwiseAND(F.lit(255)).alias("symbol"), "n").toPandas()
-    tree = build(depth, *(rows[c].to_numpy(np.int64) for c in ("d", "context", "symbol", "n")))
-    return Model(tree, n, v, hot["h"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy(np.int64)[order], words)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for every row of docs."""
+    # at most 1 / word_share words, and the end; the most frequent find their place first
+    hot = words.where((F.col("all") >= word_share * every) | (F.col("key") == end)).select("key", "n", "all").toPandas().sort_values(["all", "key"], ascending=False)
+    # at most 1 / gram_share grams
+    often = grams.where(F.col("all") >= gram_share * positions).select("key", "all").join(logs, "key").select("key", F.col("value").cast("float").alias("value"), "all").toPandas().sort_values(["all", "key"], ascending=False)
+    table = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", "value"))
+    pair = lambda rows, c, kind: (rows["key"].to_numpy(np.int64).view(U), rows[c].to_numpy(kind))
+    return Model(n, v, depth, pair(hot, "n", np.int64), pair(often, "value", np.float32), table, grams.select("key", "n"))
+
+
+_READY: dict[str, tuple[Lookup, Lookup]] = {}
+
+
+def score(docs: DataFrame, model: Model, learned: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score for every row of docs.
+
+    learned: docs are those given to learn(), held out or not, so that every gram
+    is known; else the tree is asked again for grams that it has no row of."""
     bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    tree = sc.broadcast(model.tree)
-    frequent = sc.broadcast((model.frequent, model.frequent_count))
-    floor = model.total + model.distinct + 1
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.grams))
+    depth, floor = model.depth, model.total + model.distinct + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"))
-
-    def lookup(h: np.ndarray) -> np.ndarray:
-        """Count of frequent words, 0 of others."""
-        words, counts = frequent.value
-        if not len(words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        return np.where(words[at] == h, counts[at], 0)
+    name = f"{id(model)}-{model.total}-{model.distinct}"
+
+    def tables() -> tuple[Lookup, Lookup]:
+        """Once for each worker process."""
+        if name not in _READY:
+            _READY.clear()
+            words, grams = sent.value
+            _READY[name] = Lookup(*words), Lookup(*grams)
+        return _READY[name]
+
+    def listed(doc: list[np.ndarray], key: list[np.ndarray], n: int) -> pa.ListArray:
+        """The keys of each document."""
+        d, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, key))
+        cut = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array(k[np.argsort(d, kind="stable")].view(np.int64)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(lookup(END_WORD)[0])
+        words, grams = tables()
+        end = float(words.get(END_WORD)[0])
+        end = 0.0 if np.isnan(end) else end
         for batch in batches:
+            n = len(batch)
             data, offsets = B.text_bytes(batch.column("text"))
             h, doc = B.words(data, offsets)
-            c, n = lookup(h), len(batch)
-            base = np.bincount(doc, np.where(c > 0, np.log10((c + 1) / floor), 0), n) + np.log10((end + 1) / floor)
+            c = words.get(h)
+            rare = np.isnan(c)
+            base = np.bincount(doc, np.where(rare, 0, np.log10((c + 1) / floor)), n) + np.log10((end + 1) / floor)
             known = np.bincount(doc, c > 0, n).astype(np.int64) + (end > 0)
-            rare = np.bincount(doc, c == 0, n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k"), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(base), pa.array(rare), pa.array(tree.value.scores(data, offsets))], names=["doc_id", "_k", "n_tokens", "known", "base", "rare", "score"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, doc = B.words(*B.text_bytes(batch.column("text")))
-            few = np.flatnonzero(lookup(h) == 0)
-            k = batch.column("_k").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(k[doc[few]]), pa.array(h[few].view(np.int64))], names=["_k", "h"])
-
-    rows = durable(keyed.mapInArrow(scored, f"doc_id {kind}, _k long, n_tokens long, known long, base double, rare long, score double"), "scored")
-    # words that are not frequent: no hash has more than `word_share` of the rows
-    found = keyed.select("_k", "text").mapInArrow(rest, "_k long, h long").join(model.words, "h").groupBy("_k").agg(F.count("*").alias("found"), F.sum(F.log10((F.col("c") + 1) / F.lit(float(floor)))).alias("logs"))
-    copies = rows.groupBy("_k").agg(F.count("*").alias("copies"))
-    each = found.join(copies, "_k").select("_k", (F.col("found") / F.col("copies")).cast("long").alias("found"), (F.col("logs") / F.col("copies")).alias("logs"))
-    got, logs = F.coalesce("found", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    unknown = float(np.log10(1 / floor))
-    return rows.join(each, "_k", "left").select("doc_id", "n_tokens", (F.col("known") + got).alias("n_known"), (F.col("base") + logs + (F.col("rare") - got) * unknown).alias("base_score"), "score")
+            tokens = np.bincount(doc, minlength=n) + 1
+            rare_words = listed([doc[rare]], [h[rare]], n)
+            total, at, keys = np.zeros(n), [], []
+            for code, doc in coded(data, offsets, depth):
+                value = grams.get(code.view(U))
+                rare = np.isnan(value)
+                total += np.bincount(doc, np.where(rare, 0, value), n)
+                at.append(doc[rare])
+                keys.append(code[rare])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(total), rare_words, listed(at, keys, n)], names=["doc_id", "_row", "n_tokens", "known", "base", "total", "words", "grams"])
+
+    keyed = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    rows = durable(keyed.mapInArrow(scored, f"doc_id {kind}, _row long, n_tokens long, known long, base double, total double, words array<long>, grams array<long>"), "scored")
+    word, value = F.col("kind") == WORD, F.col("value")
+    # rare words and grams: no key has more than its share of the positions
+    asked = rows.select("_row", F.lit(WORD).alias("kind"), F.explode("words").alias("key")).unionByName(rows.select("_row", F.lit(GRAM).alias("kind"), F.explode("grams").alias("key")))
+    counts = model.counts
+    if not learned:
+        new = asked.where(~word).select("key").distinct().join(model.seen, "key", "left_anti").select("key", F.lit(0).cast("long").alias("n"))
+        new = durable(new, "new")
+        logs = gram_logs(model.seen.unionByName(new), depth).join(new.select("key"), "key")
+        counts = counts.unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", "value"))
+    each = asked.join(counts, ["kind", "key"], "left").groupBy("_row").agg(
+        F.count_if(word & (value > 0)).alias("found"),
+        F.sum(F.when(word, F.log10((F.coalesce(value, F.lit(0.0)) + 1) / F.lit(float(floor)))).otherwise(0.0)).alias("logs"),
+        F.sum(F.when(word, 0.0).otherwise(value)).alias("more"),
+    )
+    got = lambda c: F.coalesce(c, F.lit(0))
+    return rows.drop("words", "grams").join(each, "_row", "left").select("doc_id", "n_tokens", (F.col("known") + got("found")).alias("n_known"), (F.col("base") + got("logs")).alias("base_score"), (F.col("total") + got("more")).alias("score"))

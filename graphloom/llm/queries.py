@@ -15,7 +15,7 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = remainder_is_two("doc_id", 7)
     model = ctw.learn(docs, held)
-    return ctw.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return ctw.score(docs, model, learned=True).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def document_files(docs: DataFrame) -> DataFrame:

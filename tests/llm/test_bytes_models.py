@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import bytesops as B
 from graphloom.llm import ctw, langid, toxicity
@@ -53,27 +54,19 @@ def kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
 
-def brute_tree(train, test, depth, share):
+def brute_tree(train, test, depth):
     """CTW by its definition, with dictionaries of contexts."""
     counts = collections.defaultdict(collections.Counter)
-    total = 0
     for t in train:
         x = b"\xff" * depth + t + b"\xff"
         for i in range(depth, len(x)):
-            total += 1
             for d in range(depth + 1):
                 counts[x[i - d : i]][x[i]] += 1
-    kept = {c for c in counts if sum(counts[c].values()) >= share * total}
+    kept = set(counts)
 
     def children(c):
         return [bytes([o]) + c for o in range(256) if bytes([o]) + c in kept] if len(c) < depth else []
 
-    def rest(c):
-        out = collections.Counter(counts[c])
-        for k in children(c):
-            out.subtract(counts[k])
-        return out
-
     def split(counter, prefix, length):
         a = b = 0
         for s, n in counter.items():
@@ -93,7 +86,7 @@ def brute_tree(train, test, depth, share):
             if len(c) == depth:
                 memo[key] = (own, own, None)
             else:
-                below = kt(*split(rest(c), prefix, length)) + sum(weighted(k, prefix, length)[0] for k in children(c))
+                below = sum(weighted(k, prefix, length)[0] for k in children(c))
                 memo[key] = (math.log(0.5) + max(own, below) + math.log(math.exp(own - max(own, below)) + math.exp(below - max(own, below))), own, below)
         return memo[key]
 
@@ -114,27 +107,46 @@ def brute_tree(train, test, depth, share):
                 p, left = p + left * share_ * one, left * (1 - share_)
                 older = bytes([x[i - len(c) - 1]]) + c
                 if older not in kept:
-                    a, b = split(rest(c), prefix, length)
-                    p += left * (b + 0.5) / (a + b + 1)
+                    p += left / 2
                     break
                 c = older
             out += math.log10(p if bit else 1 - p)
     return out
 
 
-@pytest.mark.parametrize("share", [0.0, 0.02])
-def test_context_tree_matches_its_definition(spark, share):
+@pytest.mark.parametrize("depth, share", [(3, 0.0), (3, 0.02), (6, 1e-3)])
+def test_context_tree_matches_its_definition(spark, depth, share):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab e\n") for _ in range(rng.randint(0, 40))) for _ in range(12)]
     docs = frame(spark, texts)
-    model = ctw.learn(docs, remainder_is_two("doc_id", 7), depth=3, share=share)
-    got = {r.doc_id: r for r in ctw.score(docs, model).collect()}
+    model = ctw.learn(docs, remainder_is_two("doc_id", 7), depth=depth, gram_share=share)
     train = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r for r in ctw.score(docs, model, learned=True).collect()}
     for i in range(0, 12, 3):
-        assert got[i].score == pytest.approx(brute_tree(train, texts[i].encode(), 3, share), abs=1e-4)
-    table = model.tree
-    leaves = 10.0 ** table.logp.astype(float)
-    assert np.allclose(leaves.sum(1), 1, atol=1e-5)
+        assert got[i].score == pytest.approx(brute_tree(train, texts[i].encode(), depth), abs=1e-4)
+    # texts that were not there when the model learned
+    others = ["abba cab", "zz", "", "e\ne\n ab"]
+    for r in ctw.score(frame(spark, others), model).collect():
+        assert r.score == pytest.approx(brute_tree(train, others[r.doc_id].encode(), depth), abs=1e-4)
+
+
+def test_probabilities_of_a_context_add_up_to_one(spark):
+    rng = random.Random(5)
+    model = ctw.learn(frame(spark, ["".join(rng.choice("abc ") for _ in range(300))]), F.lit(False), depth=4)
+    context = int.from_bytes(b"ba c"[::-1], "little")
+    new = spark.createDataFrame([(context << 8 | s, 0) for s in range(256)], "key long, n long").join(model.seen, "key", "left_anti")
+    logs = ctw.gram_logs(model.seen.unionByName(new), 4).where(F.shiftright("key", 8) == context).collect()
+    assert len(logs) == 256 and sum(10**r.value for r in logs) == pytest.approx(1, abs=1e-9)
+
+
+def test_long_texts_keep_their_context_at_a_cut(spark):
+    unit = "the quick brown fox jumps over the lazy dog "
+    docs = frame(spark, [unit * 60_000, unit])  # 2.6 MB: three pieces
+    model = ctw.learn(docs, F.lit(False))
+    total = sum(r.n for r in model.seen.collect())
+    assert total == len(unit) * 60_001 + 2
+    # grams are those of the endless repetition but at the two beginnings and ends
+    assert model.seen.count() <= len(unit) + 2 * (ctw.DEPTH + 1)
 
 
 @pytest.mark.parametrize("share", [1e-6, 0.05])
@@ -168,6 +180,16 @@ def test_scoring_of_empty_tables(spark):
     assert ctw.score(frame(spark, ["ab"]), model).first().score == pytest.approx(-3 * 8 * math.log10(2), rel=1e-6)
 
 
+def test_lookup_has_every_value_or_none():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 62, 5000)).astype(np.uint64)
+    keys = np.concatenate([np.zeros(1, np.uint64), keys])
+    got = ctw.Lookup(keys, np.arange(len(keys), dtype=float)).get(np.concatenate([keys, keys + np.uint64(1)]))
+    has = ~np.isnan(got)
+    assert has[: len(keys)].mean() > 0.99 and not has[len(keys) + 1 :].any()
+    assert (got[: len(keys)] == np.arange(len(keys)))[has[: len(keys)]].all()
+    assert np.isnan(ctw.Lookup(keys[:0], np.zeros(0)).get(keys)).all()
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(1)
     texts, toxic = [], []
