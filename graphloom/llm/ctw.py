@@ -307,6 +307,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
+def _pair(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns of (key, value) rows, without a copy of the whole as rows."""
+    got = rows.toArrow()
+    key, value = (got.column(i).to_numpy() for i in (0, 1))
+    return key.view(U), value
+
+
 def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, gram_share: float = 4e-8, word_share: float = 3e-7) -> Model:
     """The model of the rows that are not held out.  The others' words and grams
     get rows too, with their count of zero, so that every one can be looked up."""
@@ -348,13 +355,12 @@ def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, gram_share: flo
     positions = int(grams.agg(F.sum("all")).first()[0] or 0)
     logs = gram_logs(grams.select("key", "n"), depth)
     end = int(END_WORD.view(np.int64)[0])
-    # at most 1 / word_share words, and the end; the most frequent find their place first
-    hot = words.where((F.col("all") >= word_share * every) | (F.col("key") == end)).select("key", "n", "all").toPandas().sort_values(["all", "key"], ascending=False)
+    # at most 1 / word_share words, and the end
+    hot = words.where((F.col("all") >= word_share * every) | (F.col("key") == end)).select("key", "n")
     # at most 1 / gram_share grams
-    often = grams.where(F.col("all") >= gram_share * positions).select("key", "all").join(logs, "key").select("key", F.col("value").cast("float").alias("value"), "all").toPandas().sort_values(["all", "key"], ascending=False)
+    often = grams.where(F.col("all") >= gram_share * positions).select("key").join(logs, "key").select("key", F.col("value").cast("float").alias("value"))
     table = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", "value"))
-    pair = lambda rows, c, kind: (rows["key"].to_numpy(np.int64).view(U), rows[c].to_numpy(kind))
-    return Model(n, v, depth, pair(hot, "n", np.int64), pair(often, "value", np.float32), table, grams.select("key", "n"))
+    return Model(n, v, depth, _pair(hot), _pair(often), table, grams.select("key", "n"))
 
 
 _READY: dict[str, tuple[Lookup, Lookup]] = {}
