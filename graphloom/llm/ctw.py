@@ -13,7 +13,7 @@ grows with them; it is a table, never a driver's or a worker's object.  Its
 counts are those of the distinct grams (a context and its symbol).  The two
 deepest levels are computed by the task that has their common ancestor (2**24
 grams at most, whatever the input), the next ones by grouping, and the driver
-sees the contexts of depth - 4 bytes only (2**16 at depth 6).  The result is the
+sees the contexts of depth - 4 bytes only (256 at depth 5).  The result is the
 log probability of each gram.
 
 Scoring looks grams up.  Those with at least `gram_share` of all positions, and
@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from graphloom.llm import bytesops as B
 from graphloom.llm.common import bounded_batches, discard, durable
 
-DEPTH = 6
+DEPTH = 5
 END = 255
 END_WORD = np.array([0x5EED0E4D], np.uint64)
 WORD, GRAM = 0, 1
-HELD = 3_000_000  # keys that a task merges before it gives them out
+HELD = 1_500_000  # keys that a task merges before it gives them out
 U = np.uint64
 
 
@@ -207,7 +207,7 @@ def gram_logs(grams: DataFrame, depth: int) -> DataFrame:
     levels = {root: durable(placed.mapInArrow(upwards, "key long, zeros double, ones double, below double"), "level")}
     for d in range(root, top, -1):
         levels[d - 1] = durable(_sql_up(levels[d], d), "level")
-    # at most 2**16 contexts of 255 decisions, whatever the input
+    # 256 contexts of 255 decisions at depth 5 (2**16 at 6), whatever the input
     first = levels[top].toPandas().sort_values("key")
     chain = [(Level(*(first[c].to_numpy() for c in ("key", "zeros", "ones", "below"))), None)]
     for d in range(top, 0, -1):
@@ -314,7 +314,7 @@ def _pair(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key.view(U), value
 
 
-def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, gram_share: float = 4e-8, word_share: float = 3e-7) -> Model:
+def learn(docs: DataFrame, held_out: Column, depth: int = DEPTH, gram_share: float = 1e-7, word_share: float = 3e-7) -> Model:
     """The model of the rows that are not held out.  The others' words and grams
     get rows too, with their count of zero, so that every one can be looked up."""
     bounded_batches(docs.sparkSession)
