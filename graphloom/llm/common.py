@@ -46,5 +46,27 @@ def remainder_is_two(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == 2, F.lit(False))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """These names with as many underscores in front as keep them apart from columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
+    """The columns that an operator's own ones do not replace."""
+    return [c for c in columns if c.lower() not in added]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
