@@ -1,19 +1,27 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text: every word and its first 4, 5 and 6 bytes, hashed to 64 bits
-(A-Z lowered), present or absent.  score = sigmoid(b + sum w_i + sum <v_i, v_j>
-over pairs of present terms), so that pairs add what single weights miss.
+Terms of a text: every word and its first 4, 5 and 6 bytes (A-Z lowered), present
+or absent, all hashed to 2**BITS buckets.  score = sigmoid(b + sum w_i x_i +
+sum <v_i, v_j> x_i x_j over pairs of present buckets), so that pairs add what
+single weights miss.
+
+No bucket is left out: x_i = 3 / sqrt(buckets of the text) + evidence_i, where the
+evidence grows with the z-score of the bucket's log odds in the sample.  So a term
+that says nothing by itself still takes part, in pairs above all, and all terms
+without evidence together weigh the same in a short and in a long text.
 
 Fit on a bounded sample: the `sample` labelled training rows of lowest
-xxhash64(doc_id); of their terms, the `terms` with the largest absolute
-z-score of the log odds, from at least `min_docs` rows.  Both bounds are
-parameters; everything else covers every row and every whole text.
-
-Defined cases: null or empty text, or no known term: sigmoid(b).  No usable
-label, or one class only: b is the log odds of (positives + 0.5) / (rows + 1)
-and no term has a weight.  Null labels or ids are not learned from.  Repeated
-rows each get a row.  Extra columns of `labels` are ignored, and those of
-`docs` kept in front of the result.
+xxhash64(doc_id), one row for each id.  A bucket that fewer than `min_docs` of
+them hold has nothing learned, and weight zero.  The machine has a fixed size;
+scoring covers every row and every whole text.
+
+Defined cases: null or empty text: sigmoid(b).  No usable label, or one class
+only: b is the log odds of (positives + 0.5) / (rows + 1) and no term has a
+weight.  Null labels or ids are not learned from; an id with several labels has
+the largest, one with several texts that of the least hash.  Repeated rows each
+get a row, no rows give none.  Texts above a megabyte are read in pieces cut
+between words and then counted as one.  Columns of docs named like an added one
+are replaced, all others kept; those of `labels` are ignored.
 """
 
 from __future__ import annotations
@@ -28,148 +36,152 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches
+from graphloom.llm.common import bounded_batches, fresh, named, without
 
 PREFIXES = (4, 5, 6)
+BITS = 20
+ADDED = ("score", "predicted")
+
+
+def present(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, bucket), distinct and sorted; a document's all at once."""
+    held = np.zeros(0, np.int64)
+    for part, bounds, docs, ends, _ in B.pieces(data, offsets):
+        words = B.Words(part, bounds)
+        doc = docs[words.segment] << BITS
+        found = [doc | (words.hashes(upto) >> np.uint64(64 - BITS)).astype(np.int64) for upto in (None, *PREFIXES)]
+        held = np.unique(np.concatenate([held, *found]))
+        if ends:
+            yield held >> BITS, held & ((1 << BITS) - 1)
+            held = held[:0]
 
 
 @dataclass
 class Machine:
-    terms: np.ndarray  # sorted uint64
     bias: float
+    evidence: np.ndarray  # of each bucket; nan: nothing learned
     w: np.ndarray
     v: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.gate = np.zeros(1 << 20, bool)  # most terms are unknown: one look at a bitmap
-        self.gate[self.terms >> np.uint64(44)] = True
-
-    def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, index of a known term), distinct and sorted."""
-        docs, found = [], []
-        if len(self.terms):
-            for doc, h in raw_terms(data, offsets):
-                maybe = np.flatnonzero(self.gate[h >> np.uint64(44)])
-                at = np.minimum(np.searchsorted(self.terms, h[maybe]), len(self.terms) - 1)
-                known = self.terms[at] == h[maybe]
-                docs.append(doc[maybe[known]])
-                found.append(at[known])
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate(docs) * np.int64(len(self.terms)) + np.concatenate(found))
-        return both // len(self.terms), both % len(self.terms)
-
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        doc, term = self.present(data, offsets)
-        return _sigmoid(self.bias + _margin(doc, self.w[term], self.v[term], n))
+        total = np.full(n, self.bias)
+        for doc, bucket in present(data, offsets):
+            sizes = np.bincount(doc, minlength=n)
+            known = ~np.isnan(self.evidence[bucket])
+            doc, bucket = doc[known], bucket[known]
+            total += margin(doc, inputs(self.evidence[bucket], sizes[doc]), self.w[bucket], self.v[bucket], n)
+        return _sigmoid(total)
 
 
-def raw_terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for part, bounds, docs in B.chunks(data, offsets):
-        words = B.Words(part, bounds)
-        for upto in (None, *PREFIXES):
-            yield docs[words.segment], words.hashes(upto)
+def inputs(evidence: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return 3 / np.sqrt(size) + evidence
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _margin(doc: np.ndarray, w: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    out = np.bincount(doc, w, n).astype(float)
+def margin(doc: np.ndarray, x: np.ndarray, w: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """sum w_i x_i + sum <v_i, v_j> x_i x_j of each of n documents."""
+    out = np.bincount(doc, w * x, n).astype(float)
     for k in range(v.shape[1]):
-        sums = np.bincount(doc, v[:, k], n)
-        out += 0.5 * (sums * sums - np.bincount(doc, v[:, k] ** 2, n))
+        a = v[:, k] * x
+        sums = np.bincount(doc, a, n)
+        out += 0.5 * (sums * sums - np.bincount(doc, a * a, n))
     return out
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int = 4, epochs: int = 40, rate: float = 0.1, decay: float = 2e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on the logistic loss; rows hold the indices of present terms."""
+def fit_rows(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, n_terms: int, rank: int = 4, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, w, v) by AdaGrad on the logistic loss, in at least `steps` batches of
+    128 rows, whole epochs; `doc` is sorted."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, rank))
-    gw, gv, gb = np.full(n_terms, 1e-6), np.full((n_terms, rank), 1e-6), 1e-6
+    w, v = np.zeros(n_terms), rng.normal(0, 0.02, (rank, n_terms))
+    gw, gv, gb = np.full(n_terms, 1e-6), np.full((rank, n_terms), 1e-6), 1e-6
     bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if y.min(initial=1) == y.max(initial=0) or not n_terms:
-        return bias, w, v * 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        return bias, w, v.T * 0
+    begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    for _ in range(-(-steps // -(-len(y) // 128))):
+        order = rng.permutation(len(y))
         for lo in range(0, len(order), 128):
             part = order[lo : lo + 128]
-            lengths = [len(rows[i]) for i in part]
-            doc, term = np.repeat(np.arange(len(part)), lengths), np.concatenate([rows[i] for i in part])
-            miss = _sigmoid(bias + _margin(doc, w[term], v[term], len(part))) - y[part]
-            sums = np.stack([np.bincount(doc, v[term, k], len(part)) for k in range(rank)], 1)
-            seen, inverse = np.unique(term, return_inverse=True)
-            dw = np.bincount(inverse, miss[doc], len(seen)) / len(part) + decay * w[seen]
-            pull = miss[doc, None] * (sums[doc] - v[term])
-            dv = np.stack([np.bincount(inverse, pull[:, k], len(seen)) for k in range(rank)], 1) / len(part) + decay * v[seen]
+            m = len(part)
+            sizes = begin[part + 1] - begin[part]
+            at = np.arange(sizes.sum()) + np.repeat(begin[part] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+            of, t, z = np.repeat(np.arange(m), sizes), term[at], x[at]
+            a = v[:, t] * z
+            sums = np.stack([np.bincount(of, a[k], m) for k in range(rank)])
+            squares = np.bincount(of, (a * a).sum(0), m)
+            miss = _sigmoid(bias + np.bincount(of, w[t] * z, m) + 0.5 * ((sums * sums).sum(0) - squares)) - y[part]
+            pull = miss[of] * z / m
+            dw = np.bincount(t, pull, n_terms) + decay * w
+            gw += dw * dw
+            w -= rate * dw / np.sqrt(gw)
+            for k in range(rank):
+                dv = np.bincount(t, pull * (sums[k][of] - a[k]), n_terms) + decay * v[k]
+                gv[k] += dv * dv
+                v[k] -= rate / 4 * dv / np.sqrt(gv[k])
             db = float(miss.mean())
-            gw[seen] += dw * dw
-            gv[seen] += dv * dv
             gb += db * db
-            w[seen] -= rate * dw / np.sqrt(gw[seen])
-            v[seen] -= rate / 4 * dv / np.sqrt(gv[seen])
             bias -= rate * db / gb**0.5
-    return bias, w, v
+    return bias, w, v.T
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 8000, terms: int = 20000, min_docs: int = 3) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 8000, min_docs: int = 3) -> Machine:
     spark = docs.sparkSession
     bounded_batches(spark)
     usable = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = usable.where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    picked = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int")
+    blank = Machine(0.0, np.full(1 << BITS, np.nan, np.float32), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32))
     if not chosen:
-        return Machine(np.zeros(0, np.uint64), 0.0, np.zeros(0), np.zeros((0, 1)))
+        return blank
+    picked = spark.createDataFrame([tuple(r) for r in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
     # at most `sample` ids: safe to send to every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
-    def every_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            pairs = [np.stack([doc.astype(np.uint64), h]) for doc, h in raw_terms(*B.text_bytes(batch.column("text")))]
-            if pairs:
-                doc, h = np.unique(np.concatenate(pairs, 1), axis=1) if sum(p.shape[1] for p in pairs) else np.zeros((2, 0), np.uint64)
-                seen, inverse = np.unique(h, return_inverse=True)
-                ones = np.bincount(inverse, toxic[doc.astype(np.int64)], len(seen)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(seen)).astype(np.int64)), pa.array(ones)], names=["term", "n", "ones"])
-
-    totals = rows.agg(F.count("*"), F.sum("toxic")).first()
-    n, p = int(totals[0]), int(totals[1] or 0)
-    counted = rows.select("text", "toxic").mapInArrow(every_term, "term long, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    a, b = F.col("ones"), F.col("n") - F.col("ones")
-    odds = F.log((a + 0.5) / (F.lit(p + 0.5) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n - p + 0.5) - b + 0.5))
-    spread = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = counted.where(F.col("n") >= min_docs).select("term", F.abs(odds / spread).alias("z")).where("z >= 2").orderBy(F.desc("z"), "term").limit(terms).collect() if 0 < p < n else []
-    known = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
-    blank = Machine(known, 0.0, np.zeros(len(known)), np.zeros((len(known), 1)))
-
-    def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.text_bytes(batch.column("text"))
-            doc, term = blank.present(data, offsets)
-            cut = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(batch)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.astype(np.int32)))], names=["doc_id", "toxic", "terms"])
-
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(known_terms, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
-    bias, w, v = fit_rows([np.asarray(x, np.int64) for x in got["terms"]], got["toxic"].to_numpy(float), len(known))
-    return Machine(known, bias, w, v)
+            found = list(present(*B.text_bytes(batch.column("text"))))
+            doc, bucket = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            cut = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(batch))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], names=["doc_id", "toxic", "terms"])
+
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(terms, T.StructType([*picked.schema.fields, T.StructField("terms", T.ArrayType(T.IntegerType()))]))
+    # one row for each of the at most `sample` ids, of at most 2**BITS buckets each
+    got = found.groupBy("doc_id", "toxic").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms")).toArrow().sort_by("doc_id")
+    if not len(got):
+        return blank
+    y = got.column("toxic").to_numpy().astype(float)
+    lists = got.column("terms").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    doc, bucket = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy()
+    n, ones = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket, y[doc], 1 << BITS)
+    a, b, p = ones + 0.5, n - ones + 0.5, y.sum()
+    odds = np.log(a / (p + 1 - a)) - np.log(b / (len(y) - p + 1 - b))
+    z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
+    evidence = np.where(n >= min_docs, np.minimum(np.maximum(z - 1, 0) / 3, 2), np.nan)
+    known = np.flatnonzero(n >= min_docs)
+    kept = n[bucket] >= min_docs
+    x = inputs(evidence[bucket[kept]], size[doc[kept]])
+    bias, w, v = fit_rows(doc[kept], np.searchsorted(known, bucket[kept]), x, y, len(known))
+    out = Machine(bias, evidence.astype(np.float32), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32))
+    out.w[known], out.v[known] = w, v
+    return out
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, kept: list[str] | None = None) -> DataFrame:
     """The kept columns (all) of docs, with score and predicted (score >= threshold)."""
     bounded_batches(docs.sparkSession)
-    kept = docs.columns if kept is None else kept
-    sent = docs.sparkSession.sparkContext.broadcast((machine.terms, machine.bias, machine.w.astype(np.float64), machine.v))
+    kept = without(docs.columns if kept is None else kept, ADDED)
+    (source,) = fresh(kept, "text")
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Machine(*sent.value)
+        model = sent.value
         for batch in batches:
-            s = model.scores(*B.text_bytes(batch.column("_text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+            s = model.scores(*B.text_bytes(batch.column(len(kept))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, *ADDED])
 
-    fields = [f for f in docs.schema.fields if f.name in kept and f.name not in ("score", "predicted")]
-    kept = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return docs.select(*named(kept), F.col("text").alias(source)).mapInArrow(run, schema)
