@@ -67,12 +67,11 @@ def test_packing_query(spark, documents):
     rows = QUERIES["op6_packing"](spark, SMALL).collect()
     lengths = collections.Counter(len(r["text"].encode().split()) + 1 for r in documents)
     assert collections.Counter(r.n_tokens for r in rows) == lengths
-    binned = collections.Counter()
-    for x, c in lengths.items():
-        step = 2 ** max(0, int(math.log2(x)) - 8)
-        binned[x if x <= packing.EXACT else -(-x // step) * step] += c
-    x, c = np.array(sorted(binned)), np.array([binned[k] for k in sorted(binned)])
-    assert {r.bucket for r in rows} <= set(packing.best_bounds(x, c, 16))
+    x, c = np.array(sorted(lengths)), np.array([lengths[k] for k in sorted(lengths)])
+    within = x <= 16384
+    x, c = x[within], c[within]
+    assert {r.bucket for r in rows if not r.over_budget} <= set(packing.best_bounds(x, c, 16))
+    assert all(r.over_budget == (r.n_tokens > 16384) for r in rows)
     # no bound moved to a neighbouring length gives less padding
     bounds = packing.best_bounds(x, c, 16)
     best = padding(x.tolist(), c.tolist(), bounds)

@@ -211,6 +211,52 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert len(rows) > 60 and np.mean(right) > 0.95
 
 
+def test_toxicity_learns_a_pair_of_terms_that_say_nothing_alone(spark):
+    """Toxic if both or neither are there: each of them is in half of either class."""
+    rng = random.Random(2)
+    texts, toxic = [], []
+    for k in range(1200):
+        words = [f"w{rng.randint(0, 30)}" for _ in range(8)]
+        a, b = k % 2, k // 2 % 2
+        texts.append(" ".join([*words, *["clownish"] * a, *["farmers"] * b]))
+        toxic.append(int(a == b))
+    docs = frame(spark, texts)
+    held = remainder_is_two("doc_id", 4)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"), held)
+    rows = toxicity.score(docs, model, threshold=0.5, kept=["doc_id"]).withColumn("held", held).where("held").collect()
+    assert np.mean([r.predicted == toxic[r.doc_id] for r in rows]) > 0.9
+
+
+def test_the_machine_is_a_sum_over_pairs(spark):
+    rng = np.random.default_rng(4)
+    size = 1 << toxicity.BITS
+    evidence = rng.random(size).astype(np.float32)
+    evidence[rng.random(size) < 0.2] = np.nan
+    m = toxicity.Machine(-0.3, evidence, rng.normal(0, 0.1, size).astype(np.float32), rng.normal(0, 0.1, (size, 3)).astype(np.float32))
+    texts = ["One two three", "one ONE one", "", None, "alphabet alphabets soup of letters", "w " * 700_000 + "alphabet"]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), m).collect()}
+    for i, t in enumerate(texts):
+        words = sorted(set(plain_words(t)))
+        held = set()
+        for w in words:
+            data, offsets = B.text_bytes(pa.array([w.decode()]))
+            held |= {int(b) for _, bs in toxicity.present(data, offsets) for b in bs}
+        known = sorted(b for b in held if not np.isnan(evidence[b]))
+        x = {b: 3 / math.sqrt(len(held)) + float(evidence[b]) for b in known}
+        z = -0.3 + sum(float(m.w[b]) * x[b] for b in known)
+        z += sum(float(m.v[b].astype(float) @ m.v[c].astype(float)) * x[b] * x[c] for k, b in enumerate(known) for c in known[:k])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_toxicity_learns_once_from_repeated_rows(spark):
+    texts = ["bad words here", "good words here"] * 20
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    held = remainder_is_two("doc_id", 4)
+    docs = frame(spark, texts)
+    once, twice = toxicity.fit(docs, labels, held), toxicity.fit(docs.unionByName(docs), labels, held)
+    assert once.bias == twice.bias and (once.w == twice.w).all() and (once.v == twice.v).all()
+
+
 def test_toxicity_defined_cases(spark):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")

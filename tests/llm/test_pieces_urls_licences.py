@@ -62,7 +62,15 @@ URLS = [
     ("http://m.example.com/de/9#x", "example.com/de/", "block"),
     ("http://x.org/fr/", "org/fr/", "allow"),
     ("http://spam-farm.x.org/en/", None, "block"),
-    ("http://spam.farming.org/en/", None, "allow"),
+    ("http://spammed.farming.org/en/", None, "allow"),
+    ("http://free-bets7.x.org/", None, "allow"),
+    ("http://free.bets.x.org/", None, "block"),
+    ("http://x.org/a/Free-CASINO?q", None, "block"),
+    ("http://x.org/bets/", None, "allow"),
+    ("http://get-rich.x.org", None, "block"),
+    ("http://x.org/?casino", None, "allow"),
+    ("http://casino.example.net/en/", "example.net/en/", "allow"),
+    ("http://x.org/" + "a/" * 60_000 + "porn", None, "block"),
     ("no scheme net/", None, "allow"),
     ("x://y://net/", None, "allow"),
     ("http://net:80/", None, "allow"),
@@ -72,12 +80,13 @@ URLS = [
 
 
 def test_url_rules(spark):
-    from graphloom.llm.queries import URL_RULES, URL_WORDS
+    from graphloom.llm.queries import URL_RULES
 
-    rows = [(i, u, "old") for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    got = urls.judge(pages, URL_RULES + [urls.word_rule("block", w) for w in URL_WORDS]).collect()
-    assert len(got) == len(rows)
+    rows = [(i, u, "old", 1, 2) for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], None, 1, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, tokens int, _token int")
+    out = urls.judge(pages, URL_RULES + urls.general_rules())
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns[:4] == ["page_id", "url", "tokens", "_token"]
     for r in got:
         assert ((r.rule if r.level == 0 else None), r.verdict) == URLS[r.page_id][1:], r
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0

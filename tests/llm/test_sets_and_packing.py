@@ -116,6 +116,26 @@ def test_bounds_are_optimal():
         assert padding(lengths, counts, bounds) == best
 
 
+def test_bounds_of_many_lengths_match_the_plain_programme():
+    rng = np.random.default_rng(8)
+    for u, k in ((200, 5), (300, 16), (97, 97)):
+        x = np.sort(rng.choice(np.arange(1, 40_000), u, replace=False))
+        c = rng.integers(1, 50, u)
+        n, t = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(c * x)))
+        best = [x[j] * n[j + 1] - t[j + 1] for j in range(u)]
+        for _ in range(k - 1):
+            best = [min([best[j], *(best[i - 1] + x[j] * (n[j + 1] - n[i]) - (t[j + 1] - t[i]) for i in range(1, j + 1))]) for j in range(u)]
+        assert padding(x.tolist(), c.tolist(), packing.best_bounds(x, c, k)) == best[-1]
+
+
+def test_lengths_above_a_thousand_stay_exact(spark):
+    texts = ["w " * k for k in range(2000, 2008)]
+    assert {r.padding for r in packing.pack(frame(spark, texts), buckets=16).collect()} == {0}
+    long = packing.pack(frame(spark, ["w " * 19_990, "w " * 20_000, "w " * 16_383]), buckets=2).collect()
+    assert sorted((r.n_tokens, r.over_budget) for r in long) == [(16_384, False), (19_991, True), (20_001, True)]
+    assert len({r.batch_id for r in long}) == 3
+
+
 def test_packing_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 7)
     rng = random.Random(6)
@@ -126,13 +146,15 @@ def test_packing_keeps_every_row(spark, monkeypatch):
     for r in rows:
         assert r.n_tokens == len((texts[r.doc_id] or "").split()) + 1
         assert 0 <= r.padding == r.bucket - r.n_tokens
+        assert r.over_budget == (r.n_tokens > 200) and (r.padding == 0 or not r.over_budget)
         batches[r.batch_id].append(r)
-    assert len({r.bucket for r in rows}) <= 4
+    assert len({r.bucket for r in rows if not r.over_budget}) <= 4
     sizes = collections.defaultdict(list)
     for b in batches.values():
         assert len({r.bucket for r in b}) == 1
         full = max(1, 200 // b[0].bucket)
         assert len(b) <= full
+        assert len(b) == 1 if b[0].over_budget else len(b) * b[0].bucket <= 200
         sizes[b[0].bucket].append(len(b) < full)
     assert all(sum(s) <= 1 for s in sizes.values())
     assert packing.pack(frame(spark, [])).count() == 0
