@@ -13,12 +13,14 @@ hold a term of either.  A text without any such term is fingerprinted by the
 hash of the whole text, and is like its equals (1) only.
 
 Defined cases: null text counts as empty.  Null ids come first in the order;
-rows of equal id are ordered by the text's hash; a lone document is its own
-next.
+rows of equal id are ordered by the text's hash, and rows equal in both follow each
+other; a lone document is its own next; no rows give none.  Texts of any length
+are read whole.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +32,7 @@ TERMS = 1 << 20
 SCALES, EACH = (3, 5, 7, 9), 8
 #: Where each scale's bits stand in a bucket's number, itself a hash of the word.
 OFFSETS = {3: 0, 5: 3, 7: 8, 9: 11}
-BLOCK_ROWS = 1024
+BLOCK_ROWS, BLOCKS = 512, 1 << 14
 
 
 def buckets(text: Column) -> Column:
@@ -84,24 +86,49 @@ def as_text(hashes: Column, text: Column) -> Column:
     return F.when(F.exists(hashes, lambda h: h.isNotNull()), F.concat_ws(".", parts)).otherwise(F.concat(F.lit("text."), F.lower(F.hex(text))))
 
 
+def _not_after(bound: Column, id_: Column, tie: Column) -> Column:
+    """Whether a block's bound stands at or before a row, nulls first."""
+    b, t = bound.getField("i"), bound.getField("t")
+    return F.when(b.isNull(), id_.isNotNull() | (t <= tie)).otherwise(id_.isNotNull() & ((b < id_) | ((b == id_) & (t <= tie))))
+
+
+def with_blocks(docs: DataFrame, id_column: str, tie: str) -> tuple[DataFrame, int]:
+    """docs with `_block`, ascending in (id, tie), and the largest block.
+
+    The bounds are rows themselves, about one of BLOCK_ROWS by a hash (BLOCKS of
+    them at most are expected), so that blocks are even however ids are spread; a
+    row finds its block by a binary search in their sorted list.
+    """
+    i, t = F.col(id_column), F.col(tie)
+    every = max(BLOCK_ROWS, -(-docs.count() // BLOCKS))
+    chosen = docs.where(F.pmod(F.xxhash64(i, t, F.lit("bound")), F.lit(every)) == 0).select(i.alias("i"), t.alias("t")).distinct()
+    bounds = sorted(((r.i, r.t) for r in chosen.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    if not bounds:
+        return docs.withColumn("_block", F.lit(0)), 0
+    kind = docs.schema[id_column].dataType.simpleString()
+    table = F.from_json(F.lit(json.dumps([{"i": i_, "t": t_} for i_, t_ in bounds])), f"array<struct<i:{kind},t:bigint>>")
+
+    def step(found: Column, jump: Column) -> Column:
+        reached = found + jump
+        return F.when((reached <= len(bounds)) & _not_after(F.get(table, reached - 1), i, t), reached).otherwise(found)
+
+    jumps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return docs.withColumn("_block", F.aggregate(jumps, F.lit(0), step)), len(bounds)
+
+
 def with_next(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: list[str], id_column: str, tie: str) -> DataFrame:
     """finish(docs) with `next`, the struct of `columns` of its next row by (id, tie);
-    after the last comes the first.  Rows are dealt to blocks of ids; a block also
-    gets the first row of the block after it, so that no order over all rows is
-    needed.  finish adds columns row by row."""
-    low, high, n = docs.agg(F.min(id_column), F.max(id_column), F.count("*")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, (high - low + 1) * BLOCK_ROWS // max(n, 1))
-    placed = docs.withColumn("_block", F.coalesce(F.floor((F.col(id_column) - low) / width), F.lit(-1)).cast("long"))
+    after the last comes the first.  A block of rows also gets the first row of the
+    block after it, so that no order over all rows is needed.  finish adds columns
+    row by row."""
+    placed, last = with_blocks(docs, id_column, tie)
     whole = F.struct(*[c for c in placed.columns if c != "_block"])
     order = F.struct(F.col(id_column).isNotNull().alias("a"), F.col(id_column).alias("b"), F.col(tie).alias("c"))
     first = placed.groupBy("_block").agg(F.min_by(whole, order).alias("r"))
-    # block numbers only: one long for BLOCK_ROWS rows
-    numbers = placed.select("_block").distinct()
-    ring = Window.orderBy("_block")
-    before = numbers.select(F.col("_block").alias("_of"), F.lag("_block").over(ring).alias("_before"), F.max("_block").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
-    guests = first.join(before, F.col("_block") == F.col("_of")).select("r.*", F.coalesce("_before", "_last").alias("_block"), F.lit(True).alias("_guest"))
+    # the blocks that have rows: numbers, of which there are at most as many as bounds
+    there = sorted(r["_block"] for r in placed.select("_block").distinct().collect())
+    before = docs.sparkSession.createDataFrame([(b, there[k - 1]) for k, b in enumerate(there)], "_block int, _before int")
+    guests = first.join(F.broadcast(before), "_block").select("r.*", F.col("_before").alias("_block"), F.lit(True).alias("_guest"))
     rows = finish(placed.withColumn("_guest", F.lit(False))).unionByName(finish(guests))
     line = Window.partitionBy("_block").orderBy("_guest", F.col(id_column).asc_nulls_first(), tie)
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(line)).where("not _guest").drop("_block", "_guest")
