@@ -16,8 +16,14 @@ is then checked pair by pair, in blocks of at most LEFT by RIGHT texts, never
 emitting pairs that are already connected.  So each candidate pair is either
 verified or known to be connected, whatever the size of its bucket.
 
+Buckets of more than HOT texts are few (at most texts * BANDS / HOT) and are joined
+apart from the others, by a broadcast where their number is below HOT_BUCKETS, so
+that a bucket's texts never meet in one task.
+
 Defined cases: null text counts as empty.  A null id is replaced by
 xxhash64(text).  Rows that share an id are one document, so their classes join.
+No rows give none.  Texts of any length count whole.  Other columns are not read,
+and one_of_each() keeps them as they are.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ from graphloom.llm.components import components
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 LEFT, RIGHT = 256, 1024
+HOT, HOT_BUCKETS = 1024, 1 << 17
 FILTER_BITS = 1 << 25
 U = np.uint64
 
@@ -168,6 +175,17 @@ def _perhaps(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("_tid", "_key", "text", place("_tid").alias("p")).mapInArrow(run, "_tid long, _key binary, text string")
 
 
+def _by_band(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined with facts (one row for each band, with n, its texts) by band;
+    hot bands' rows stay where they are."""
+    hot = facts.where(F.col("n") > HOT)
+    if hot.count() > HOT_BUCKETS:
+        return rows.join(facts, "band")
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select("band"), "band", "left_anti").join(facts.where(F.col("n") <= HOT), "band")
+    return cold.unionByName(rows.join(hot, "band"))
+
+
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: _key, tid, rows of that tid, class_id), (rows: doc_id, _tid, _key)."""
     spark = docs.sparkSession
@@ -194,7 +212,8 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("tid").alias("rep"), F.bit_xor(F.xxhash64("tid")).alias("who")).where("n > 1")
     # bands that gather the same texts ask the same questions: one of them stays
     buckets = buckets.groupBy("who", "n", "rep").agg(F.min("band").alias("band"))
-    members = durable(banded.join(buckets.select("band", "n", "rep"), "band"), "members")
+    buckets = durable(buckets.select("band", "n", "rep"), "buckets")
+    members = durable(_by_band(banded, buckets), "members")
     discard(banded)
     asked = members.select("tid").distinct()
     bodies = _perhaps(_identified(docs.select("doc_id", "text")), asked).select(F.col("_tid").alias("tid"), "_key", "text")
@@ -210,12 +229,13 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = durable(components(found), "joined")
 
     placed = members.where("n > 2").join(joined, members.tid == joined.id, "left").select("band", "n", "rep", "tid", F.coalesce("component", "tid").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    placed = durable(placed.join(open_, "band"), "open")
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = main.select("band", "main", F.ceil((F.col("all") - F.col("most")) / LEFT).alias("lefts"), F.ceil(F.col("all") / RIGHT).alias("rights"))
-    cross = placed.join(main, "band")
+    placed = durable(placed, "placed")
+    open_ = placed.groupBy("band", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "n")
+    placed_open = durable(_by_band(placed.drop("n"), durable(open_, "bands")), "open")
+    sizes = placed_open.groupBy("band", "n", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("band", "n").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    main = main.select("band", "n", "main", F.ceil((F.col("all") - F.col("most")) / LEFT).alias("lefts"), F.ceil(F.col("all") / RIGHT).alias("rights"))
+    cross = _by_band(placed_open.drop("n"), durable(main, "mains"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = cross.where("comp <> main").withColumn("l", F.pmod(F.xxhash64("tid"), "lefts")).withColumn("r", spread("rights")).withColumn("side", F.lit(0))
     right = cross.withColumn("r", F.pmod(F.xxhash64("tid"), "rights")).withColumn("l", spread("lefts")).withColumn("side", F.lit(1))
@@ -227,7 +247,10 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = sigs.join(shared, "_tid", "left_semi").join(texts, "_key").select(F.col("_tid").alias("a"), F.col("tid").alias("b"))
     final = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same))
     out = texts.join(final, texts.tid == final.id, "left").select("_key", "tid", "rows", F.coalesce("component", "tid").alias("class_id"))
-    return durable(out, "classes"), sigs.select("doc_id", "_tid", "_key")
+    out = durable(out, "classes")
+    for done in (buckets, members, bodies, found, joined, placed, placed_open, more, texts):
+        discard(done)
+    return out, sigs.select("doc_id", "_tid", "_key")
 
 
 def classes(docs: DataFrame) -> DataFrame:
