@@ -68,7 +68,9 @@ def test_registers_agree_with_the_similarity():
     assert (r[0] == r[1]).mean() == pytest.approx(jp(collections.Counter(x), collections.Counter(y)), abs=0.03)
 
 
-def test_classes_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 1 << 20])
+def test_classes_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)
     monkeypatch.setattr(minhash, "LEFT", 4)
     monkeypatch.setattr(minhash, "RIGHT", 6)
     rng = random.Random(8)
@@ -187,6 +189,27 @@ def test_fingerprints(spark):
     assert len(ties) == 4
 
 
+@pytest.mark.parametrize("ids", [[9 * 10**18, -9 * 10**18, 0, 5], [None] * 4, [10**15, *range(1, 60)], [7] * 30 + [None] * 30])
+def test_next_document_of_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 2)
+    texts = [f"{k} words of text {k * k}" for k in range(len(ids))]
+    rows = fingerprints.fingerprints(frame(spark, texts, ids)).collect()
+    hashes = {r.t: r.h for r in frame(spark, texts).selectExpr("text as t", "xxhash64(text) as h").collect()}
+    line = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(line):
+        cut = len(t) // 4
+        want.append((i, hashlib.sha256((t[: len(t) - cut] + line[(k + 1) % len(line)][1][:cut]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_blocks_are_even_beside_an_outlier(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 16)
+    docs = spark.range(4000).selectExpr("if(id = 0, 9000000000000000000, id) as i", "xxhash64(id) as h")
+    sizes = [r["count"] for r in fingerprints.with_blocks(docs, "i", "h")[0].groupBy("_block").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 160
+
+
 def test_fingerprint_subsets_are_sorted_term_hashes(spark):
     docs = frame(spark, ["b a a c", "c a b"])
     bits = np.full(fingerprints.TERMS // 64, -1, np.int64)
