@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,5 +69,13 @@ def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in added]
 
 
+def small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of a few rows that stand in the plan itself; columns as in `a int, b string`."""
+    names = [c.split()[0] for c in columns.split(",")]
+    kind = ",".join(c.strip().replace(" ", ":", 1) for c in columns.split(","))
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
