@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_table
 
 TERMS = 1 << 20
 SCALES, EACH = (3, 5, 7, 9), 8
@@ -127,7 +128,7 @@ def with_next(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], columns
     first = placed.groupBy("_block").agg(F.min_by(whole, order).alias("r"))
     # the blocks that have rows: numbers, of which there are at most as many as bounds
     there = sorted(r["_block"] for r in placed.select("_block").distinct().collect())
-    before = docs.sparkSession.createDataFrame([(b, there[k - 1]) for k, b in enumerate(there)], "_block int, _before int")
+    before = small_table(docs.sparkSession, [(b, there[k - 1]) for k, b in enumerate(there)], "_block int, _before int")
     guests = first.join(F.broadcast(before), "_block").select("r.*", F.col("_before").alias("_block"), F.lit(True).alias("_guest"))
     rows = finish(placed.withColumn("_guest", F.lit(False))).unionByName(finish(guests))
     line = Window.partitionBy("_block").orderBy("_guest", F.col(id_column).asc_nulls_first(), tie)

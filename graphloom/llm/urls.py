@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh, named, without
+from graphloom.llm.common import fresh, named, small_table, without
 
 BROADCAST_RULES = 100_000
 ADDED = ("host", "path", "rule", "level", "verdict")
@@ -98,7 +98,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
     asked = split.select(F.explode(tokens).alias("t")).where(F.col("t").isin(literal)).groupBy("t").agg(F.count("*").alias("n")) if literal else None
     seen = {r.t: r.n for r in asked.collect()} if literal else {}  # at most the rules' tokens
     index = [(min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else "", r.text, r.pattern, r.verdict, r.level) for r in rules]
-    table = spark.createDataFrame(index, f"{token} string, text string, pattern string, said string, depth int")
+    table = small_table(spark, index, f"{token} string, text string, pattern string, said string, depth int")
     if len(rules) <= BROADCAST_RULES:  # else Spark shuffles both sides
         table = F.broadcast(table)
     # equal urls are judged once; the way back is a join that AQE can split
