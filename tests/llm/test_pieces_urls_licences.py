@@ -114,6 +114,35 @@ def test_licences_and_inheritance(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+HEADERS = {
+    "MIT": ["MIT License\n\nCopyright (c) 2019 Some One\n\n" + licences._GRANT + "\n\n" + licences._NOTICE + "\n\n" + licences._AS_IS, "# The MIT License (MIT)\n#\n# Copyright", "// SPDX-License-Identifier: MIT\nint x;"],
+    "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\ncode();"],
+    "BSD-3-Clause": ["Copyright\n\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# * no words"],
+    "BSD-2-Clause": ["Copyright (c) 2001\n\n" + "\n".join([licences._BSD, licences._BSD_SOURCE, licences._BSD_BINARY, licences._BSD_AS_IS]), "# SPDX-License-Identifier: BSD-2-Clause"],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Other words follow here."],
+    "GPL-2.0": ["# SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL-3.0": ["under no terms\nLicensed under the GNU Lesser General Public License, version 3"],
+    "Apache-2.0": ["# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"],
+    None: ["SPDX-License-Identifier: EUPL-1.2", "the mit lab has a license to teach, and more words on many other things", "Permission to park here is hereby denied"],
+}
+
+
+def test_standard_headers(spark):
+    rows = [(i, f"d{i}/LICENSE" if k == 0 else f"d{i}/x.c", h, name) for i, (name, k, h) in enumerate((n, k, h) for n, hs in HEADERS.items() for k, h in enumerate(hs))]
+    # words of other files, so that common words weigh less
+    plain = [(1000 + i, f"p{i}/x", "the of to and a in is it you that under this work for with or any in at by", None) for i in range(300)]
+    files = spark.createDataFrame([r[:3] for r in rows + plain], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(files).collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: name for i, _, _, name in rows}
+    assert not any(got[i] for i, *_ in plain)
+
+
+def test_a_header_in_a_very_long_file(spark):
+    text = "some words of a file\n" * 60_000 + "# SPDX-License-Identifier: ISC\n" + "x" * 1_000_000
+    files = spark.createDataFrame([(1, "a/x", text), (2, "a/y", "z")], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(files).collect()} == {1: "ISC", 2: None}
+
+
 def test_pipeline_stages_keep_their_contract(spark):
     import corpus_pipeline as c
 
