@@ -60,7 +60,7 @@ TEMPLATES: dict[str, list[tuple[str, str]]] = {
     "CC-BY-SA-4.0": [("attribution sharealike 4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"), ("cc by sa 4", "Licensed under CC BY-SA 4.0")],
     "CC0-1.0": [("cc0", "CC0 1.0 Universal public domain dedication"), ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0")],
     "ISC": [("isc", "ISC License"), ("fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")],
-    "MIT": [("mit", "MIT License"), ("mit", "Released under the MIT License"), ("mit", "Licensed under the MIT license"), ("mit", "The MIT License (MIT)"), ("mit", "MIT License Copyright (c)"), ("hereby sublicense", _GRANT), ("hereby sublicense", f"MIT License {_GRANT} {_NOTICE} {_AS_IS}")],
+    "MIT": [("mit license", "MIT License"), ("mit license", "Released under the MIT License"), ("mit license", "Licensed under the MIT license"), ("mit license", "The MIT License (MIT)"), ("mit license", "MIT License Copyright (c)"), ("hereby sublicense", _GRANT), ("hereby sublicense", f"MIT License {_GRANT} {_NOTICE} {_AS_IS}")],
     "MPL-2.0": [("mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), ("mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), ("mozilla 2", "Mozilla Public License Version 2.0")],
     "Unlicense": [("unencumbered", "This is free and unencumbered software released into the public domain."), ("unlicense", "The Unlicense")],
     "Zlib": [("zlib", "zlib License"), ("altered freely", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: altered source versions must be plainly marked as such")],
