@@ -75,7 +75,7 @@ class Machine:
 
 
 def inputs(evidence: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return 3 / np.sqrt(size) + evidence
+    return np.float32(3) / np.sqrt(size, dtype=np.float32) + evidence
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -149,23 +149,35 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 8000
 
     found = rows.select("doc_id", "toxic", "text").mapInArrow(terms, T.StructType([*picked.schema.fields, T.StructField("terms", T.ArrayType(T.IntegerType()))]))
     # one row for each of the at most `sample` ids, of at most 2**BITS buckets each
-    got = found.groupBy("doc_id", "toxic").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms")).toArrow().sort_by("doc_id")
+    got = found.groupBy("doc_id", "toxic").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms")).orderBy("doc_id").toArrow()
     if not len(got):
         return blank
     y = got.column("toxic").to_numpy().astype(float)
-    lists = got.column("terms").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    doc, bucket = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy()
-    n, ones = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket, y[doc], 1 << BITS)
+    lists = got.column("terms").chunks
+    del got
+    size = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in lists])
+    bucket = np.concatenate([c.flatten().to_numpy() for c in lists])
+    del lists
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    n, ones = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for lo in range(0, len(bucket), 1 << 20):  # in parts: the sample's terms are many
+        part = slice(lo, lo + (1 << 20))
+        n += np.bincount(bucket[part], minlength=1 << BITS)
+        ones += np.bincount(bucket[part], y[doc[part]], 1 << BITS)
     a, b, p = ones + 0.5, n - ones + 0.5, y.sum()
     odds = np.log(a / (p + 1 - a)) - np.log(b / (len(y) - p + 1 - b))
     z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
-    evidence = np.where(n >= min_docs, np.minimum(np.maximum(z - 1, 0) / 3, 2), np.nan)
+    evidence = np.where(n >= min_docs, np.minimum(np.maximum(z - 1, 0) / 3, 2), np.nan).astype(np.float32)
     known = np.flatnonzero(n >= min_docs)
+    place = np.zeros(1 << BITS, np.int32)
+    place[known] = np.arange(len(known))
     kept = n[bucket] >= min_docs
-    x = inputs(evidence[bucket[kept]], size[doc[kept]])
-    bias, w, v = fit_rows(doc[kept], np.searchsorted(known, bucket[kept]), x, y, len(known))
-    out = Machine(bias, evidence.astype(np.float32), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32))
+    doc, bucket = doc[kept], bucket[kept]
+    x = inputs(evidence[bucket], size.astype(np.float32)[doc])
+    term = place[bucket]
+    del kept, bucket
+    bias, w, v = fit_rows(doc, term, x, y, len(known))
+    out = Machine(bias, evidence, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32))
     out.w[known], out.v[known] = w, v
     return out
 
