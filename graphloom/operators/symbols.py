@@ -33,7 +33,7 @@ def callables(g: CodeGraph, path: str | None, exclude: Sequence[str]) -> DataFra
 
 def find_dead_code(g: CodeGraph, path: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
     """Functions and methods whose name no call anywhere mentions."""
-    called = g.refs.where("kind = 'call'").select(F.col("target_name").alias("name"))
+    called = g.refs.where("kind = 'call'").select(F.col("target_name").alias("name")).distinct()
     return stored_symbols(callables(g, path, exclude).join(called, "name", "left_anti")).orderBy(*ORDER)
 
 

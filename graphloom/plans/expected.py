@@ -23,12 +23,12 @@ EXTRACTED = {
         [("User", "App\\Models\\User", None, 1)],
     ),
     "typescript": (
-        [("View", "class", 1, 3, None, None, None, False), ("cache", "method", 2, 2, "View", "private", "()", False), ("add", "function", 4, 4, None, "export", "function (a: number)", False), ("twice", "function", 5, 5, None, None, "const => (x)", False), ("__ts_test_6_0", "function", 6, 8, None, None, None, True)],
-        [("inherit", "Base", None, 1, "View"), ("implement", "Shown", None, 1, "View"), ("call", "fill", None, 2, "cache"), ("call", "wrap", None, 4, "add"), ("call", "add", None, 5, "twice"), ("call", "add", None, 5, "twice"), ("call", "it", None, 6, "__ts_test_6_0"), ("call", "render", None, 7, "__ts_test_6_0"), ("call", "View", None, 7, "__ts_test_6_0")],
+        [("View", "class", 1, 3, None, None, None, False), ("cache", "method", 2, 2, "View", "private", "method ()", False), ("add", "function", 4, 4, None, "export", "function (a: number)", False), ("twice", "function", 5, 5, None, None, "const => (x)", False), ("__ts_test_6_1", "function", 6, 8, None, None, "test callback", True)],
+        [("inherit", "Base", None, 1, "View"), ("implement", "Shown", None, 1, "View"), ("call", "fill", None, 2, "cache"), ("call", "wrap", None, 4, "add"), ("call", "add", None, 5, "twice"), ("call", "add", None, 5, "twice"), ("call", "it", None, 6, "__ts_test_6_1"), ("call", "render", None, 7, "__ts_test_6_1"), ("call", "View", None, 7, "__ts_test_6_1")],
         [("st", "react.useState", "st", 0), ("React", "react.default", None, 0)],
     ),
     "qml": (
-        [("Rectangle", "class", 2, 8, None, None, None, False), ("title", "property", 3, 3, "Rectangle", None, None, False), ("activated", "event", 4, 4, "Rectangle", None, None, False), ("activate", "function", 5, 7, "Rectangle", None, None, False)],
+        [("Rectangle", "class", 2, 8, None, None, "Rectangle", False), ("title", "property", 3, 3, "Rectangle", None, "property string title", False), ("activated", "event", 4, 4, "Rectangle", None, "signal activated(int reason)", False), ("activate", "function", 5, 7, "Rectangle", None, "function activate(reason)", False)],
         [],
         [],
     ),

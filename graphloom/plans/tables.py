@@ -13,10 +13,13 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset."""
+    """spark.checkpoint.dir of the session; a local folder where it is unset and the
+    session runs on this machine alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all hosts of the cluster share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="graphloom-"))
     return Path(_LOCAL[0]).as_uri()

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from graphloom.plans.tables import durable, durable_counted
 from graphloom.schema import TOP_LEVEL
 
-UNROLLED = 3
+UNROLLED = 1
 
 
 def levels(first: DataFrame, expand: Callable[[DataFrame], DataFrame], follow: str, seed: str, max_depth: int | None) -> DataFrame:
     """Rows of every reached name, each name expanded once at its least depth.
 
     `expand` takes (name) and gives the rows of those names; column `follow` of
-    a row names the next one.  Up to UNROLLED levels form one lazy plan; deeper
-    walks write each frontier to the shared folder, so plans stay flat.
+    a row names the next one.  A walk of more than UNROLLED levels writes each
+    frontier to the shared folder, so plans stay flat and no level is derived twice.
     """
     spark = first.sparkSession
     if max_depth is not None and max_depth < 1:

@@ -71,7 +71,7 @@ class _Visitor(ast.NodeVisitor):
         self.lines, self.out, self.classes = lines, Extract(), []
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self.out.symbols.append(Symbol(node.name, "class", node.lineno - 1, node.end_lineno - 1, visibility=visibility(node.name)))
+        self.out.symbols.append(Symbol(node.name, "class", node.lineno - 1, node.end_lineno - 1))
         for base in node.bases:
             if isinstance(base, ast.Name):
                 self.out.refs.append(Reference("inherit", base.id, None, base.lineno - 1, node.name))
@@ -98,13 +98,13 @@ class _Visitor(ast.NodeVisitor):
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
             if a.asname is None:
-                self.out.imports.append(Import(a.name.split(".")[-1], a.name, None, node.lineno - 1))
+                self.out.imports.append(Import(a.name.split(".")[-1], a.name, None, a.lineno - 1))
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         for a in node.names:
             if a.name != "*":
                 path = f"{node.module}.{a.name}" if node.module and not node.level else a.name
-                self.out.imports.append(Import(a.asname or a.name, path, a.asname, node.lineno - 1))
+                self.out.imports.append(Import(a.asname or a.name, path, a.asname, a.lineno - 1))
 
 
 def extract(text: str) -> Extract:

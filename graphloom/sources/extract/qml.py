@@ -12,8 +12,15 @@ def extract(text: str) -> Extract:
     def is_(i: int, *texts: str) -> bool:
         return 0 <= i < len(ts) and ts[i].kind != "str" and ts[i].text in texts
 
-    def put(name: str, kind: str, first: int, last: int, parent: str | None, signature: str | None = None) -> None:
-        out.symbols.append(Symbol(name, kind, ts[first].row + 1, ts[min(last, len(ts) - 1)].row + 1, parent, None, signature))
+    def put(name: str, kind: str, first: int, last: int, parent: str | None) -> None:
+        out.symbols.append(Symbol(name, kind, ts[first].row + 1, ts[min(last, len(ts) - 1)].row + 1, parent, None, header(first, last)))
+
+    def header(first: int, last: int) -> str:
+        """The declaration up to its body, its default value or its end."""
+        j = first
+        while j <= last and j < len(ts) and not is_(j, "{", ":", ";"):
+            j = matching(ts, j) + 1 if is_(j, "(") else j + 1
+        return " ".join(text[ts[first].start : ts[min(j, len(ts)) - 1].end].split())
 
     def line_end(i: int, end: int) -> int:
         j = i

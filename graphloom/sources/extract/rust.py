@@ -7,7 +7,7 @@ from graphloom.sources.extract.model import Extract, Import, Reference, Symbol
 
 #: Words that are never called, although "(" may follow.
 KEYWORDS = frozenset(
-    "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type union unsafe use where while yield".split()
+    "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while yield".split()
 )
 MODIFIERS = frozenset(("const", "async", "unsafe", "default", "extern"))
 #: The argument of these methods that names functions to run.
@@ -146,7 +146,7 @@ class _Reader:
         j = i + 1
         if self.is_(j, "::") and self.is_(j + 1, "<"):
             j = after_generics(ts, j + 1)
-        if self.is_(j, "(") and t.text not in KEYWORDS:
+        if self.is_(j, "(") and (t.text not in KEYWORDS or self.is_(i - 1, ".")):
             self.out.call(t.text, t.row, _qualifier(ts, i))
             if self.is_(i - 1, ".") and t.text in REGISTRATION:
                 self.registered(j, REGISTRATION[t.text])
@@ -229,7 +229,7 @@ def scan_calls(ts: list[Token]) -> list[tuple[str, str | None, int]]:
     for i, t in enumerate(ts[:-1]):
         if t.kind == "id" and ts[i + 1].text == "(" and ts[i + 1].kind == "op":
             qualifier = _qualifier(ts, i)
-            if qualifier is None and t.text in KEYWORDS:
+            if qualifier is None and t.text in KEYWORDS and (not i or ts[i - 1].text != "."):
                 continue
             out.append((t.text, qualifier, t.row))
     return out

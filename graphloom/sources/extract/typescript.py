@@ -6,7 +6,7 @@ from graphloom.sources.extract.lexer import SCRIPT, after_generics, matching, to
 from graphloom.sources.extract.model import Extract, Import, Reference, Symbol
 
 #: Words before "(" that call nothing, member modifiers, test names.
-NOT_CALLED = frozenset("if for while switch catch function return typeof await of in do else case void delete super import with yield throw instanceof async get set constructor".split())
+NOT_CALLED = frozenset("if for while switch catch function return typeof await in do else case void delete super import with yield throw instanceof async constructor".split())
 MODIFIERS = frozenset(("public", "private", "protected", "static", "async", "abstract", "override", "readonly", "get", "set", "declare"))
 ACCESS = ("public", "private", "protected")
 TESTS, VARIANTS = ("test", "it"), ("only", "skip", "concurrent", "fails")
@@ -68,7 +68,9 @@ class _Reader:
         if not self.is_(j, "("):
             return i + 1
         member = self.is_(i - 1, ".", "?.")
-        if member or t.text not in NOT_CALLED:
+        # in `for (x of (...))` the word stands after a name or a pattern
+        loop = t.text == "of" and (self.word(i - 1) or self.is_(i - 1, "]", "}")) and ts[i - 1].row == t.row
+        if member or (t.text not in NOT_CALLED and not loop):
             self.out.call(t.text, t.row)
             callee = i - 2 if member and t.text in VARIANTS and self.is_(i - 2, *TESTS) else i
             if self.is_(callee, *TESTS) and not self.is_(callee - 1, ".", "?."):
@@ -93,8 +95,8 @@ class _Reader:
                 last = self.arrow_end(arrow, close) if arrow else None
             if last is not None:
                 self.callbacks += 1
-                name = f"__ts_test_{ts[begin].row}_{self.callbacks - 1}"
-                self.out.symbols.append(Symbol(name, "function", ts[begin].row, ts[min(last, close)].row, is_test=True))
+                name = f"__ts_test_{ts[begin].row}_{self.callbacks}"
+                self.out.symbols.append(Symbol(name, "function", ts[begin].row, ts[min(last, close)].row, signature="test callback", is_test=True))
                 return
             while i < close and not self.is_(i, ","):
                 i = matching(ts, i) + 1 if self.is_(i, "(", "[", "{") else i + 1
@@ -277,7 +279,7 @@ class _Reader:
                     last = matching(ts, body)
                     if self.word(at):
                         shown = next((t.text for t in ts[begin:i] if t.text in ACCESS), None)
-                        self.out.symbols.append(Symbol(ts[at].text, "method", ts[begin].row, ts[last].row, owner, shown, self.text[ts[open_].start : ts[close].end], ts[at].text.startswith("test")))
+                        self.out.symbols.append(Symbol(ts[at].text, "method", ts[begin].row, ts[last].row, owner, shown, "method " + self.text[ts[open_].start : ts[close].end]))
                     self.code(open_ + 1, close)
                     self.code(body + 1, min(last, end))
                     i = last + 1
