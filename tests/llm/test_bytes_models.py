@@ -313,3 +313,13 @@ def test_gram_frequencies_come_from_all_training_rows(spark):
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
     seen = sum((tf > 0).sum(0) for _, tf in langid.counts(*B.text_bytes(pa.array(train))))
     assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + seen)) + 1, atol=1e-6)
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    from graphloom.llm import packing
+
+    docs = frame(spark, ["one two", None, "three"]).selectExpr("*", "1 as _text", "2 as __text", "3 as _h", "4 as Predicted", "6 as letters")
+    m = toxicity.Machine(0.0, np.full(1 << toxicity.BITS, np.nan, np.float32), np.zeros(1 << toxicity.BITS, np.float32), np.zeros((1 << toxicity.BITS, 1), np.float32))
+    for out in (toxicity.score(docs, m), langid.predict(docs, None), packing.pack(docs)):
+        rows = out.collect()
+        assert len(rows) == 3 and all((r["_text"], r["__text"], r["_h"], r["letters"]) == (1, 2, 3, 6) for r in rows)
