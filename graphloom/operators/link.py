@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.schema import EXTENSIONS
 
+#: Lines in a block of each size; the last holds any file.
+BLOCKS = (16, 256, 4096, 65536, 1 << 62)
+
 
 def language_of(path: Column) -> Column:
     """By extension, case-sensitive; null for files that are not indexed."""
@@ -35,8 +38,17 @@ def sources(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def enclosing(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """(ref_id, name, id): the shortest symbol of the file around the line, the
-    least id on ties.  lines: ref_id, file_id, line."""
-    spans = symbols.select("file_id", "id", "name", "line_start", "line_end")
-    hit = lines.join(spans, "file_id").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    least id on ties.  lines: ref_id, file_id, line.
+
+    Lines and symbols meet by block: a symbol is listed in the one or two blocks,
+    of the least size above its length, that it touches; a line looks into one
+    block of each size.  So a long file pairs no line with its far symbols.
+    """
+    length = F.col("line_end") - F.col("line_start")
+    block = F.coalesce(*[F.when(length < s, F.lit(s)) for s in BLOCKS], F.lit(BLOCKS[-1]))
+    touched = F.array_distinct(F.array(F.expr("line_start div block"), F.expr("line_end div block")))
+    spans = symbols.select("file_id", "id", "name", "line_start", "line_end").withColumn("block", block).withColumn("at", F.explode(touched))
+    asked = lines.withColumn("block", F.explode(F.array(*map(F.lit, BLOCKS)))).withColumn("at", F.expr("line div block"))
+    hit = asked.join(spans, ["file_id", "block", "at"]).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
     best = hit.groupBy("ref_id").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "id", "name")).alias("b"))
     return best.select("ref_id", "b.name", "b.id")

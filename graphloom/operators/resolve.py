@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import last_segment
+from graphloom.functions.text import gram, grams, last_segment
 from graphloom.plans.catalog import CodeGraph
 
 
@@ -63,7 +63,10 @@ def resolve(g: CodeGraph) -> DataFrame:
     rows = rows.join(by_qualifier, ["target_name", "target_qualifier"], "left")
 
     paths = imported.join(g.refs.select("source_file_id", "target_name"), ["source_file_id", "target_name"], "left_semi").select(F.col("target_name").alias("name"), "full_path").distinct()
-    by_import = several.join(paths, "name").where(F.contains("path", F.col("full_path"))).groupBy("name", "full_path").agg(F.min("id").alias("e_id"))
+    # by a piece of the import's path, which few of a frequent name's symbols hold
+    by_gram = several.join(paths.select("name"), "name", "left_semi").select("name", "id", "path", F.explode(grams(F.col("path"))).alias("gram"))
+    by_import = by_gram.join(paths.withColumn("gram", gram(F.col("full_path"))), ["name", "gram"]).where(F.contains("path", F.col("full_path")))
+    by_import = by_import.groupBy("name", "full_path").agg(F.min("id").alias("e_id"))
     rows = rows.join(by_import.withColumnRenamed("name", "target_name"), ["target_name", "full_path"], "left")
 
     n = F.col("n")

@@ -42,18 +42,21 @@ def covered_by_text(g: CodeGraph, candidates: DataFrame) -> DataFrame:
     """(file_path, name) of .qml candidates that the text of one test file names,
     together with their path or an ending of it of two parts or more.
 
-    Test files are looked up by the words they hold: a candidate's file name
-    without further parts must occur, so the pair grows only with true mentions.
+    Test files are looked up by the file names they hold: what stands between a
+    slash and the next `.qml`.  A path without a slash is looked up by the character
+    before its `.qml`.
     """
     slashed = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     tests = g.located_symbols().where("is_test = 1").select(F.col("file_path").alias("path")).distinct()
     texts = g.sources.join(tests, "path", "left_semi").select("path", slashed(F.col("content")).alias("content"))
     qml = candidates.where(F.endswith("file_path", F.lit(".qml"))).select("file_path", "name").distinct()
     qml = qml.withColumn("norm", slashed(F.col("file_path")))
-    # every accepted ending holds `directory/file.qml`, of which the file name is a run of non-slashes
-    qml = qml.withColumn("_file", F.lower(F.regexp_extract("norm", r"([A-Za-z0-9_]+)\.qml$", 1)))
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z0-9_]+)\.qml"), F.lit(1))))
-    mentioned = texts.select("path", word.alias("_file"))
+    # every accepted ending holds `/file.qml`; a file name may hold `.qml` before its end
+    named = F.regexp_extract("norm", r"(/[^/]*?\.qml)[^/]*$", 1)
+    qml = qml.withColumn("_file", F.when(named != "", named).otherwise(F.regexp_extract("norm", r"(?s)(.?)\.qml$", 1)))
+    found = lambda pattern: F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+    names = F.array_distinct(F.concat(found(r"(/[^/]*?\.qml)"), found(r"(?s)(?<=(.))\.qml"), F.array(F.lit(""))))
+    mentioned = texts.where(F.contains("content", F.lit(".qml"))).select("path", F.explode(names).alias("_file"))
     pairs = qml.join(mentioned, "_file").join(texts, "path")
     parts = F.split("norm", "/")
     ending = lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")

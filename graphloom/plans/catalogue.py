@@ -93,13 +93,17 @@ def _callees(seed: str, depth: int) -> tuple[str, list[str]]:
     return levels_sql(f"SELECT {CALLEE} FROM {CALLS} WHERE r.kind = 'call' AND s.name = '{seed}'", CALLEES_OF, seed, depth)
 
 
+INHERITS = "r.kind IN ('inherit', 'implement', 'trait_impl')"
+TYPE = "s.kind IN ('class', 'struct', 'trait', 'interface')"
+#: Names with the least number of steps from F4; walks of FAR steps hold all least ones.
+FAR = 40
 NAMES = {
-    "ancestor": "names0 AS (SELECT 'F4' AS name UNION SELECT r.target_name FROM names0 v JOIN symbols s ON s.name = v.name JOIN refs r ON r.source_file_id = s.file_id AND r.kind IN ('inherit', 'implement', 'trait_impl'))",
-    "descendant": "names1 AS (SELECT 'F4' AS name UNION SELECT s.name FROM names1 v JOIN refs r ON r.target_name = v.name AND r.kind IN ('inherit', 'implement', 'trait_impl') JOIN symbols s ON s.file_id = r.source_file_id AND s.kind IN ('class', 'struct', 'trait', 'interface'))",
+    "ancestor": f"names0 AS (SELECT 'F4' AS name, 0 AS d UNION SELECT r.target_name, v.d + 1 FROM names0 v JOIN symbols s ON s.name = v.name JOIN refs r ON r.source_file_id = s.file_id AND {INHERITS} WHERE v.d < {FAR}), least0 AS (SELECT name, min(d) AS d FROM names0 GROUP BY name)",
+    "descendant": f"names1 AS (SELECT 'F4' AS name, 0 AS d UNION SELECT s.name, v.d + 1 FROM names1 v JOIN refs r ON r.target_name = v.name AND {INHERITS} JOIN symbols s ON s.file_id = r.source_file_id AND {TYPE} WHERE v.d < {FAR}), least1 AS (SELECT name, min(d) AS d FROM names1 GROUP BY name)",
 }
 ROWS = {
-    "ancestor": "SELECT r.target_name AS name, r.kind, f.path AS file_path, 'ancestor' AS relation FROM (SELECT DISTINCT s.name, s.file_id FROM symbols s WHERE s.name IN (SELECT name FROM names0)) h JOIN refs r ON r.source_file_id = h.file_id AND r.kind IN ('inherit', 'implement', 'trait_impl') JOIN files f ON f.id = r.source_file_id",
-    "descendant": "SELECT name, kind, file_path, 'descendant' AS relation FROM (SELECT DISTINCT r.target_name, s.name, r.kind, f.path AS file_path FROM refs r JOIN files f ON f.id = r.source_file_id JOIN symbols s ON s.file_id = r.source_file_id AND s.kind IN ('class', 'struct', 'trait', 'interface') WHERE r.kind IN ('inherit', 'implement', 'trait_impl') AND r.target_name IN (SELECT name FROM names1))",
+    "ancestor": f"SELECT r.target_name AS name, r.kind, f.path AS file_path, 'ancestor' AS relation, CAST(h.d AS INTEGER) AS depth FROM (SELECT DISTINCT s.name, s.file_id, v.d FROM symbols s JOIN least0 v ON s.name = v.name) h JOIN refs r ON r.source_file_id = h.file_id AND {INHERITS} JOIN files f ON f.id = r.source_file_id",
+    "descendant": f"SELECT name, kind, file_path, 'descendant' AS relation, CAST(d AS INTEGER) AS depth FROM (SELECT DISTINCT r.target_name, s.name, r.kind, f.path AS file_path, v.d FROM refs r JOIN least1 v ON r.target_name = v.name JOIN files f ON f.id = r.source_file_id JOIN symbols s ON s.file_id = r.source_file_id AND {TYPE} WHERE {INHERITS})",
 }
 EDGES = "edges AS (SELECT DISTINCT s.name AS source, r.target_name AS target FROM refs r JOIN symbols s ON r.source_symbol_id = s.id WHERE r.kind = 'call')"
 REACH = "reach AS (SELECT DISTINCT name FROM symbols WHERE is_test = 1 UNION SELECT e.target FROM reach v JOIN edges e ON e.source = v.name)"
@@ -141,10 +145,9 @@ def _register() -> None:
     _plain("references_kind", f"{ref} WHERE r.target_name = 'F4' AND r.kind = 'inherit'", lambda g: references.find_references(resolve.apply(g), "F4", "inherit"), RESOLVED)
     _plain("references_qualified", f"{ref} WHERE r.target_name = 'large_rod_35' AND r.target_qualifier = 'F35'", lambda g: references.find_references(resolve.apply(g), "F35::large_rod_35"), RESOLVED)
 
-    without = lambda df: df.drop("depth")
-    _plain("ancestors", ROWS["ancestor"], lambda g: without(hierarchy.find_hierarchy(g, "F4", "ancestors")), NAMES["ancestor"])
-    _plain("descendants", ROWS["descendant"], lambda g: without(hierarchy.find_hierarchy(g, "F4", "descendants")), NAMES["descendant"])
-    _plain("hierarchy_both", f"{ROWS['ancestor']} UNION ALL {ROWS['descendant']}", lambda g: without(hierarchy.find_hierarchy(g, "F4")), *NAMES.values())
+    _plain("ancestors", ROWS["ancestor"], lambda g: hierarchy.find_hierarchy(g, "F4", "ancestors"), NAMES["ancestor"])
+    _plain("descendants", ROWS["descendant"], lambda g: hierarchy.find_hierarchy(g, "F4", "descendants"), NAMES["descendant"])
+    _plain("hierarchy_both", f"{ROWS['ancestor']} UNION ALL {ROWS['descendant']}", lambda g: hierarchy.find_hierarchy(g, "F4"), *NAMES.values())
 
     entry = "SELECT f.path AS {0}, i.local_name, i.full_path, i.alias, i.line FROM imports i JOIN files f ON i.file_id = f.id WHERE {1}"
     _plain("imports_lookup", entry.format("source_file", "(i.local_name = 'main' OR i.full_path ILIKE '%main%') AND f.path ILIKE '%src%'"), lambda g: imports.query_imports(g, "main", "src").select("source_file", "local_name", "full_path", "alias", "line"))
@@ -189,6 +192,8 @@ def _register() -> None:
             ORACLES[key] = expected.values(names, rows)
     QUERIES["ingest_index"] = lambda spark, _: samples.ingested(spark)
     QUERIES["stream_watch"] = lambda spark, _: samples.watched(spark)
+    ORACLES["ingest_index"] = expected.rows_sql("file, name, kind, CAST(is_test AS INTEGER) AS is_test", expected.INGESTED)
+    ORACLES["stream_watch"] = expected.rows_sql("name, kind", expected.WATCHED)
 
 
 def _with_texts(g: CodeGraph) -> CodeGraph:

@@ -28,7 +28,7 @@ EXTRACTED = {
         [("st", "react.useState", "st", 0), ("React", "react.default", None, 0)],
     ),
     "qml": (
-        [("Rectangle", "class", 2, 8, None, None, "Rectangle", False), ("title", "property", 3, 3, "Rectangle", None, "property string title", False), ("activated", "event", 4, 4, "Rectangle", None, "signal activated(int reason)", False), ("activate", "function", 5, 7, "Rectangle", None, "function activate(reason)", False)],
+        [("Page", "class", 2, 9, None, None, "Page", False), ("zoom", "property", 3, 3, "Page", None, "property real zoom", False), ("panned", "event", 4, 4, "Page", None, "signal panned(real dx, real dy)", False), ("Tick", "class", 5, 5, "Page", None, "component Tick", False), ("major", "property", 5, 5, "Tick", None, "property bool major", False), ("fit", "function", 6, 8, "Page", None, "function fit(w, h)", False)],
         [],
         [],
     ),
@@ -41,3 +41,20 @@ def values(types: dict[str, str], rows: list[tuple]) -> str:
     columns = ", ".join(["CAST(pos AS INTEGER) AS pos", *(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())])
     listed = ", ".join(f"({', '.join([str(i), *map(text, r)])})" for i, r in enumerate(rows)) or f"({', '.join(['NULL'] * (1 + len(types)))})"
     return f"SELECT {columns} FROM (VALUES {listed}) v(pos, {', '.join(types)})" + ("" if rows else " WHERE false")
+
+
+def _symbols(after: str) -> list[tuple[str, str, str, bool]]:
+    return [(path, s[0], s[1], s[7]) for lang, path in PATHS.items() if path != after for s in EXTRACTED[lang][0]]
+
+
+PATHS = {"rust": "src/lib.rs", "python": "src/app.py", "php": "src/User.php", "typescript": "src/view.tsx", "qml": "ui/Main.qml"}
+#: Every sample's symbols, but those of src/app.py after its edit.
+INGESTED = [*_symbols("src/app.py"), ("src/app.py", "only", "function", False)]
+#: Every sample's symbols and those of the file that came later.
+WATCHED = [*_symbols(""), ("src/late.py", "late", "function", False)]
+
+
+def rows_sql(columns: str, rows: list[tuple]) -> str:
+    """A SELECT of rows (file, name, kind, is_test)."""
+    listed = ", ".join(f"('{f}', '{n}', '{k}', {int(t)})" for f, n, k, t in rows)
+    return f"SELECT {columns} FROM (VALUES {listed}) v(file, name, kind, is_test)"

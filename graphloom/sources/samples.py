@@ -17,7 +17,7 @@ SOURCES = {
     "src/app.py": ("python", "import os.path\nfrom lib.core import Base as Root\nclass Dog(Root, zoo.Animal):\n    def __init__(self, name):\n        self.name = clean(name)\n    def _bark(self): print(self.name.upper())\ndef test_dog():\n    Dog('x')._bark()\n"),
     "src/User.php": ("php", "<?php\nuse App\\Models\\User;\nclass UserTest extends Base implements Runs {\n    public function testSave(int $id) {\n        User::find($id);\n        $this->save(new App\\Item());\n    }\n}\nfunction boot() { start(); }\n"),
     "src/view.tsx": ("typescript", "import React, { useState as st } from 'react';\nexport class View extends Base implements Shown {\n    private cache(): void { fill(); }\n}\nexport function add(a: number) { return wrap(a); }\nconst twice = (x) => add(add(x));\nit('renders', () => {\n    render(<View />);\n});\n"),
-    "ui/Main.qml": ("qml", "import QtQuick\nRectangle {\n  property string title: \"\"\n  signal activated(int reason)\n  function activate(reason) {\n    return reason\n  }\n}\n"),
+    "ui/Main.qml": ("qml", "import QtQuick.Controls\nPage {\n  property real zoom: 1.5\n  signal panned(real dx, real dy)\n  component Tick: Item { property bool major }\n  function fit(w, h) {\n    zoom = w / h\n  }\n}\n"),
 }
 
 

@@ -1,8 +1,11 @@
 """Graph queries on small graphs, and properties that must hold on any."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from graphloom.functions.text import ascii_like, last_segment, split_qualified
+from graphloom.functions.text import ascii_like, gram, grams, last_segment, split_qualified
 from graphloom.operators import calls, hierarchy, imports, link, references, resolve, symbols, testing
 from graphloom.plans.catalog import empty_graph
 from graphloom.sources import bridge
@@ -133,27 +136,49 @@ def test_imports(spark):
     assert col(imports.resolve_import(g, "gone"), "target_file") == [None]
 
 
-def qml(spark, text, path="Modules/Notification/Notification.qml"):
-    b = Builder(spark)
-    b.symbol(path, "notificationDisplayText", "function", 3, lang="qml")
-    b.symbol(path, "onCompleted", "function", 9, lang="qml")
-    b.symbol("tests/notification.ts", "testText", "function", 1, is_test=1, lang="typescript")
-    b.source("tests/notification.ts", text)
-    return b.graph()
-
-
 @pytest.mark.parametrize(
-    ("text", "covered"),
+    ("path", "said", "covered"),
     [
-        ("load('Modules/Notification/Notification.qml').notificationDisplayText()", True),
-        ("load('Notification\\Notification.qml') notificationDisplayText", True),
-        ("load('Modules/Notification/Notification.qml')", False),
-        ("load('Notification.qml').notificationDisplayText()", False),
+        ("/shop/till/Receipt.qml", "open /shop/till/Receipt.qml then printTotal", True),
+        ("/shop/till/Receipt.qml", "x till\\Receipt.qml printTotal()", True),
+        ("/shop/till/Receipt.qml", "till/Receipt.qml only", False),
+        ("/shop/till/Receipt.qml", "Receipt.qml printTotal", False),
+        ("/shop/till/Receipt.qml", "till/Receipt.js printTotal", False),
+        ("/shop/ui/caf\u00e9 au lait.qml", "'ui/caf\u00e9 au lait.qml' printTotal", True),
+        ("/shop/ui/old.qml.qml", "ui/a.qml ui/old.qml.qml printTotal", True),
+        ("/shop/ui/old.qml.qml", "ui/old.qml printTotal", False),
+        ("/shop/ui/.qml", "ui/.qml printTotal", True),
     ],
 )
-def test_qml_text_coverage(spark, text, covered):
-    got = col(testing.find_untested(qml(spark, text)), "name")
-    assert got == ([] if covered else ["notificationDisplayText"])
+def test_texts_of_tests_cover_qml_functions(spark, path, said, covered):
+    b = Builder(spark)
+    b.symbol(path, "printTotal", "function", 2, lang="qml")
+    b.symbol("/shop/spec/till.ts", "checksTill", "function", 0, is_test=1, lang="typescript")
+    b.source("/shop/spec/till.ts", said)
+    g = b.graph()
+    got = col(testing.covered_by_text(g, testing.untested_candidates(g)), "name")
+    assert got == ["printTotal"] * covered
+    assert col(testing.find_untested(g), "name") == ["printTotal"] * (not covered)
+
+
+def test_lines_meet_symbols_of_any_length(spark):
+    spans = [(i, 1 + i % 2, f"s{i}", a, a + n) for i, (a, n) in enumerate([(0, 0), (15, 1), (10, 15), (10, 16), (0, 255), (200, 256), (0, 70000), (65530, 20), (5, 1 << 40), (3, 3), (3, 3), (9, -1)])]
+    lines = [(i, 1 + i % 2, line) for i, line in enumerate([0, 0, 15, 16, 26, 25, 255, 256, 456, 457, 65536, 65550, 70000, 70001, 1 << 41, 4, 4])]
+    symbols = spark.createDataFrame(spans, "id long, file_id long, name string, line_start long, line_end long")
+    got = {r.ref_id: r.id for r in link.enclosing(symbols, spark.createDataFrame(lines, "ref_id long, file_id long, line long")).collect()}
+    wanted = {}
+    for ref_id, file_id, line in lines:
+        around = [(e - s, i) for i, f, _, s, e in spans if f == file_id and s <= line <= e]
+        if around:
+            wanted[ref_id] = min(around)[1]
+    assert got == wanted
+
+
+@given(st.text("ab:/.\u00e9", max_size=8), st.text("ab:/.\u00e9", max_size=8), st.text("ab:/.\u00e9", max_size=8))
+@settings(max_examples=10, deadline=None)
+def test_a_text_has_the_gram_of_all_it_holds(spark, before, held, after):
+    (r,) = spark.createDataFrame([(before + held + after, held)], "whole string, held string").select(grams(F.col("whole")).alias("all"), gram(F.col("held")).alias("one")).collect()
+    assert r.one in r.all
 
 
 def test_tests_and_reachability(spark):
