@@ -33,16 +33,3 @@ def last_segment(c: Column, marks: str) -> Column:
     """The text after the last of the given characters."""
     inside = "".join("\\" + m for m in marks)
     return F.regexp_extract(c, f"(?s)([^{inside}]*)$", 1)
-
-
-def gram(text: Column, rare: str = r"[^A-Za-z0-9_/.\-]") -> Column:
-    """Three characters of a text to look it up by: the first ones around a mark of
-    the class `rare`, else the first ones; '' for shorter texts."""
-    marked = F.regexp_extract(text, f"(?s)(.{rare}.)", 1)
-    return F.when(marked != "", marked).when(F.length(text) >= 3, F.substring(text, 1, 3)).otherwise(F.lit(""))
-
-
-def grams(text: Column) -> Column:
-    """'' and all three characters in a row: whatever the text contains has its gram() here."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(starts, lambda i: F.substr(text, i, F.lit(3)))))

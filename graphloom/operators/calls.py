@@ -40,10 +40,10 @@ def find_callers(g: CodeGraph, name: str, file: str | None = None, depth: int =
     else:
         ids = g.named(bare, qualifier).where(in_path("file_path", file)).select(F.col("id").alias("target_symbol_id"))
         known = calls.join(ids, "target_symbol_id", "left_semi")
-        # calls without a target count only where the file has the name at all
-        loose = calls.where(F.col("target_symbol_id").isNull() & (F.col("target_name") == bare)).withColumn("_one", F.lit(1))
-        any_ = ids.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(1).alias("_one"))
-        first = known.unionByName(loose.join(any_, "_one", "left_semi").drop("_one"))
+        # calls without a target count only where the file has the name at all: one row, broadcast
+        loose = calls.where(F.col("target_symbol_id").isNull() & (F.col("target_name") == bare))
+        some = ids.limit(1).agg(F.count("*").alias("_some"))
+        first = known.unionByName(loose.crossJoin(F.broadcast(some)).where("_some > 0").drop("_some"))
 
     def expand(frontier: DataFrame) -> DataFrame:
         return _as_callers(calls.join(frontier.withColumnRenamed("name", "target_name"), "target_name", "left_semi"), "target_name").drop("target_name")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import CodeGraph
 from graphloom.plans.tables import durable
-from graphloom.plans.traverse import levels
+from graphloom.plans.traverse import least_depths
 from graphloom.schema import INHERITANCE, TYPES
 
 COLUMNS = ("name", "kind", "file_path", "relation", "depth")
@@ -21,31 +21,22 @@ def _links(g: CodeGraph) -> DataFrame:
     return g.refs.where(F.col("kind").isin(*INHERITANCE)).join(g.paths(key="source_file_id"), "source_file_id").select("source_file_id", "target_name", "kind", "file_path")
 
 
-def _one(g: CodeGraph, name: str) -> DataFrame:
-    return g.spark.createDataFrame([(name,)], "name string")
-
-
 def ancestors(g: CodeGraph, name: str) -> DataFrame:
     links = durable(_links(g), "links")  # read again at each level
     homes = durable(g.symbols.select("name", F.col("file_id").alias("source_file_id")).join(links.select("source_file_id"), "source_file_id", "left_semi").distinct(), "homes")
-
-    def expand(frontier: DataFrame) -> DataFrame:
-        # one row for each (name, reference): a reference counts for each name of its file
-        of = homes.join(frontier, "name", "left_semi")
-        return links.join(of, "source_file_id").select(F.col("target_name").alias("name"), "kind", "file_path")
-
-    return levels(expand(_one(g, name)), expand, "name", name, None).withColumn("relation", F.lit("ancestor")).select(*COLUMNS)
+    depths, _ = least_depths(homes.withColumnRenamed("source_file_id", "at"), links.select(F.col("source_file_id").alias("at"), F.col("target_name").alias("next")), name)
+    # one row for each (name, reference): a reference counts for each name of its file
+    of = homes.join(depths, "name").select("source_file_id", "depth")
+    return links.join(of, "source_file_id").select(F.col("target_name").alias("name"), "kind", "file_path", F.lit("ancestor").alias("relation"), "depth")
 
 
 def descendants(g: CodeGraph, name: str) -> DataFrame:
     links = durable(_links(g), "links")  # read again at each level
     types = durable(g.symbols.where(F.col("kind").isin(*TYPES)).select("name", F.col("file_id").alias("source_file_id")).join(links.select("source_file_id"), "source_file_id", "left_semi"), "types")
-
-    def expand(frontier: DataFrame) -> DataFrame:
-        hit = links.join(frontier.withColumnRenamed("name", "target_name"), "target_name", "left_semi")
-        return hit.join(types, "source_file_id").select("target_name", "name", "kind", "file_path").distinct().drop("target_name")
-
-    return levels(expand(_one(g, name)), expand, "name", name, None).withColumn("relation", F.lit("descendant")).select(*COLUMNS)
+    depths, _ = least_depths(links.select(F.col("target_name").alias("name"), F.col("source_file_id").alias("at")), types.select(F.col("source_file_id").alias("at"), F.col("name").alias("next")), name)
+    hit = links.join(depths.withColumnRenamed("name", "target_name"), "target_name")
+    found = hit.join(types, "source_file_id").select("target_name", "name", "kind", "file_path", "depth").distinct()
+    return found.select("name", "kind", "file_path", F.lit("descendant").alias("relation"), "depth")
 
 
 def find_hierarchy(g: CodeGraph, name: str, direction: str = "both") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ascii_like, gram, grams, last_segment
+from graphloom.functions.substring import candidates, index, needle_pieces
+from graphloom.functions.text import ascii_like, last_segment
 from graphloom.plans.catalog import CodeGraph, in_path
 
 MARKS = "\\.:/"
@@ -38,12 +39,13 @@ def resolve_import(g: CodeGraph, name: str, file: str | None = None) -> DataFram
     parts = F.split(F.lower("full_path"), r"[\\.:/]")
     fits = F.forall(parts, lambda p: F.contains(F.lower(F.col("t.path")), p))
     several = first.where("n > 1").select(F.col("name").alias("actual"))
-    # looked up by a piece of the longest part
-    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    asked = asked.join(several, "actual", "left_semi").withColumn("gram", gram(longest))
+    # looked up by the rarest piece of all parts, in each file's path once
+    asked = asked.join(several, "actual", "left_semi")
     held = target.withColumnRenamed("name", "actual").join(asked.select("actual"), "actual", "left_semi")
-    held = held.withColumn("gram", F.explode(grams(F.lower("t.path"))))
-    best = asked.join(held, ["actual", "gram"]).where(fits)
+    texts = held.select(F.col("t.path").alias("id")).distinct().withColumn("text", F.lower("id"))
+    needles = asked.select("full_path", F.array_distinct(F.flatten(F.transform(parts, needle_pieces))).alias("pieces")).distinct()
+    near = candidates(needles, index(texts, needles.select(F.explode("pieces").alias("piece")))).withColumnRenamed("id", "path")
+    best = asked.join(near, "full_path").join(held.withColumn("path", F.col("t.path")), ["actual", "path"]).where(fits)
     best = best.groupBy("actual", "full_path").agg(F.min("t").alias("fit"))
     rows = rows.join(best, ["actual", "full_path"], "left")
     rows = rows.join(first.select(F.col("name").alias("actual"), F.col("t").alias("any")), "actual", "left")

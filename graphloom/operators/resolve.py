@@ -7,16 +7,27 @@ whose path holds the import's full path; else ambiguous.
 
 Each rule is an equi-join on aggregated keys, so a frequent name never pairs
 all its references with all its symbols; rule d looks candidates up by a part
-of the path, for distinct (name, qualifier) only.
+of the path, for distinct (name, qualifier) only, rule e by the rarest piece of
+the import's path, for distinct paths and files only.
+
+resolve() takes all references or any part of them: then only the symbols that
+these can mean are read, so one name costs what that name has.  update() keeps
+what a change cannot touch.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import gram, grams, last_segment
+from graphloom.functions.substring import holding
+from graphloom.functions.text import last_segment
 from graphloom.plans.catalog import CodeGraph
+from graphloom.plans.tables import durable
+
+IMPORT_MARKS = "\\.:"
 
 
 def _segment_fits(path: str, segment: Column) -> Column:
@@ -42,30 +53,50 @@ def _qualified(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     return every.groupBy("name", "qualifier").agg(F.min("id").alias("d_id"), F.count("*").alias("d_n")).where("d_n = 1").drop("d_n")
 
 
-def resolve(g: CodeGraph) -> DataFrame:
-    """Columns of refs with target_symbol_id and resolved set anew, and rule."""
-    parent = g.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
-    symbols = g.symbols.select("id", "file_id", "name", "parent_id").join(g.paths(name="path"), "file_id")
-    candidates = symbols.join(parent, "parent_id", "left").select("id", "file_id", "name", "path", "parent_name")
+def _imported(g: CodeGraph) -> DataFrame:
+    """(source_file_id, target_name, full_path): the last import of a name in a file."""
+    return g.imports.groupBy(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).agg(F.max_by("full_path", "id").alias("full_path"))
+
+
+def _narrowed(g: CodeGraph, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imports, symbols) that these references can mean."""
+    imports = g.imports.join(refs.select(F.col("source_file_id").alias("file_id"), F.col("target_name").alias("local_name")), ["file_id", "local_name"], "left_semi")
+    names = refs.select(F.col("target_name").alias("name")).unionByName(imports.select(last_segment(F.col("full_path"), IMPORT_MARKS).alias("name"))).distinct()
+    return imports, g.symbols.join(names, "name", "left_semi")
+
+
+def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
+    """Columns of refs (all) with target_symbol_id and resolved set anew, and rule."""
+    whole = g
+    if refs is not None:
+        refs = durable(refs, "asked")
+        imports, symbols = _narrowed(g, refs)
+        g = replace(g, refs=refs, imports=durable(imports, "imports"), symbols=durable(symbols, "symbols"))
+    parent = whole.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
     names = g.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("b_id"))
     in_file = g.symbols.groupBy("name", "file_id").agg(F.count("*").alias("c_n"), F.min("id").alias("c_id")).where("c_n = 1").drop("c_n")
-    imported = g.imports.groupBy(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).agg(F.max_by("full_path", "id").alias("full_path"))
+    imported = _imported(g)
 
-    refs = g.refs.drop("target_symbol_id", "resolved")
-    rows = refs.join(names.withColumnRenamed("name", "target_name"), "target_name", "left").join(imported, ["source_file_id", "target_name"], "left")
-    rows = rows.withColumn("actual", F.when(F.col("n").isNull(), last_segment(F.col("full_path"), "\\.:")))
+    rows = g.refs.drop("target_symbol_id", "resolved")
+    rows = rows.join(names.withColumnRenamed("name", "target_name"), "target_name", "left").join(imported, ["source_file_id", "target_name"], "left")
+    rows = rows.withColumn("actual", F.when(F.col("n").isNull(), last_segment(F.col("full_path"), IMPORT_MARKS)))
     rows = rows.join(names.where("n = 1").select(F.col("name").alias("actual"), F.col("b_id").alias("a_id")), "actual", "left")
     rows = rows.join(in_file.select(F.col("name").alias("target_name"), F.col("file_id").alias("source_file_id"), "c_id"), ["target_name", "source_file_id"], "left")
 
-    several = candidates.join(names.where("n > 1").select("name"), "name", "left_semi")
+    several = g.symbols.select("id", "file_id", "name", "parent_id").join(names.where("n > 1").select("name"), "name", "left_semi")
+    # candidates of qualified names only
     asked = g.refs.where("target_qualifier is not null").select(F.col("target_name").alias("name"), F.col("target_qualifier").alias("qualifier")).distinct()
-    by_qualifier = _qualified(asked, several).select(F.col("name").alias("target_name"), F.col("qualifier").alias("target_qualifier"), "d_id")
+    candidates = several.join(asked.select("name"), "name", "left_semi").join(g.paths(name="path"), "file_id").join(parent, "parent_id", "left")
+    by_qualifier = _qualified(asked, candidates).select(F.col("name").alias("target_name"), F.col("qualifier").alias("target_qualifier"), "d_id")
     rows = rows.join(by_qualifier, ["target_name", "target_qualifier"], "left")
 
     paths = imported.join(g.refs.select("source_file_id", "target_name"), ["source_file_id", "target_name"], "left_semi").select(F.col("target_name").alias("name"), "full_path").distinct()
-    # by a piece of the import's path, which few of a frequent name's symbols hold
-    by_gram = several.join(paths.select("name"), "name", "left_semi").select("name", "id", "path", F.explode(grams(F.col("path"))).alias("gram"))
-    by_import = by_gram.join(paths.withColumn("gram", gram(F.col("full_path"))), ["name", "gram"]).where(F.contains("path", F.col("full_path")))
+    paths = paths.join(names.where("n > 1").select("name"), "name", "left_semi")
+    files = several.join(paths.select("name"), "name", "left_semi")
+    # files once each, whatever the number of their symbols
+    texts = g.files.select("id", F.col("path").alias("text")).join(files.select(F.col("file_id").alias("id")), "id", "left_semi")
+    hits = holding(texts, paths.select(F.col("full_path").alias("needle")))  # a written table
+    by_import = paths.join(hits.select(F.col("needle").alias("full_path"), F.col("id").alias("file_id")), "full_path").join(files.select("name", "file_id", "id"), ["name", "file_id"])
     by_import = by_import.groupBy("name", "full_path").agg(F.min("id").alias("e_id"))
     rows = rows.join(by_import.withColumnRenamed("name", "target_name"), ["target_name", "full_path"], "left")
 
@@ -84,9 +115,51 @@ def resolve(g: CodeGraph) -> DataFrame:
     return rows.select(*kept, target.alias("target_symbol_id"), target.isNotNull().alias("resolved"), "rule")
 
 
-def apply(g: CodeGraph) -> CodeGraph:
-    rows = resolve(g).select(*[F.col(c) for c in g.refs.columns])
-    return CodeGraph(g.files, g.symbols, rows, g.imports, g.sources)
+def of_name(g: CodeGraph, name: str) -> DataFrame:
+    """The references that have this name, or an import through which they can mean it."""
+    via = g.imports.where((last_segment(F.col("full_path"), IMPORT_MARKS) == name) & (F.col("local_name") != name))
+    keys = via.select(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).distinct()
+    other = g.refs.where(F.col("target_name") != name).join(keys, ["source_file_id", "target_name"], "left_semi")
+    return g.refs.where(F.col("target_name") == name).unionByName(other)
+
+
+def apply(g: CodeGraph, refs: DataFrame | None = None) -> CodeGraph:
+    """The graph with its references (or these alone) resolved."""
+    columns = [F.col(c) for c in g.refs.columns]
+    return replace(g, refs=resolve(g, refs).select(*columns))
+
+
+@dataclass(frozen=True)
+class Change:
+    """Rows that differ between two states of a graph.  A changed file's rows are all in
+    it: the old ones as removed, the new ones as added."""
+
+    symbols_added: DataFrame
+    symbols_removed: DataFrame
+    imports_added: DataFrame
+    imports_removed: DataFrame
+    refs_added: DataFrame
+    refs_removed: DataFrame
+
+
+def update(before: DataFrame, after: CodeGraph, change: Change) -> DataFrame:
+    """resolve(after), from resolve() of the state before: columns of it and `anew`.
+
+    A reference is resolved anew if it is new, if a symbol of its name came or went, if
+    its file's import of the name did, or if it has such an import and a symbol of the
+    import's last part came or went.  All others keep their row.
+    """
+    names = change.symbols_added.select("name").unionByName(change.symbols_removed.select("name")).distinct()
+    keys = lambda df: df.select(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name"))
+    through = after.imports.withColumn("name", last_segment(F.col("full_path"), IMPORT_MARKS)).join(names, "name", "left_semi")
+    imports = keys(change.imports_added).unionByName(keys(change.imports_removed)).unionByName(keys(through)).distinct()
+    old = before.join(change.refs_removed.select("id"), "id", "left_anti")
+    touched = old.join(names.withColumnRenamed("name", "target_name"), "target_name", "left_semi").select("id")
+    touched = touched.unionByName(old.join(imports, ["source_file_id", "target_name"], "left_semi").select("id"))
+    asked = touched.unionByName(change.refs_added.select("id")).distinct()
+    anew = resolve(after, after.refs.join(asked, "id", "left_semi"))
+    kept = old.join(asked, "id", "left_anti").select(*anew.columns)
+    return kept.withColumn("anew", F.lit(False)).unionByName(anew.withColumn("anew", F.lit(True)))
 
 
 def stats(resolved: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.substring import checked
 from graphloom.functions.text import split_qualified
 from graphloom.operators.calls import find_callers
 from graphloom.operators.symbols import ORDER, callables
@@ -57,12 +58,16 @@ def covered_by_text(g: CodeGraph, candidates: DataFrame) -> DataFrame:
     found = lambda pattern: F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
     names = F.array_distinct(F.concat(found(r"(/[^/]*?\.qml)"), found(r"(?s)(?<=(.))\.qml"), F.array(F.lit(""))))
     mentioned = texts.where(F.contains("content", F.lit(".qml"))).select("path", F.explode(names).alias("_file"))
-    pairs = qml.join(mentioned, "_file").join(texts, "path")
-    parts = F.split("norm", "/")
-    ending = lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")
-    ends = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), ending)).otherwise(F.array().cast("array<string>"))
-    said = F.contains("content", F.col("name")) & (F.contains("content", F.col("norm")) | F.exists(ends, lambda e: F.contains(F.col("content"), e)))
-    return pairs.where(said).select("file_path", "name").distinct()
+    pairs = qml.join(mentioned, "_file").select(F.col("path").alias("id"), "file_path", "name", "norm")
+    ending = lambda parts, k: F.array_join(F.slice(parts, k, F.size(parts)), "/")
+
+    def said(x: Column, text: Column) -> Column:
+        parts = F.split(x["norm"], "/")
+        ends = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: ending(parts, k))).otherwise(F.array().cast("array<string>"))
+        return F.contains(text, x["name"]) & (F.contains(text, x["norm"]) | F.exists(ends, lambda e: F.contains(text, e)))
+
+    found = checked(pairs.distinct(), texts.select(F.col("path").alias("id"), F.col("content").alias("text")), said)
+    return found.select("file_path", "name").distinct()
 
 
 def find_untested(g: CodeGraph, path: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:

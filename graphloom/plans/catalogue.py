@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import render
 from graphloom.functions.text import last_segment
 from graphloom.operators import calls, hierarchy, imports, link, references, resolve, symbols, testing
-from graphloom.plans import expected
+from graphloom.plans import expected, layout
 from graphloom.plans.catalog import CodeGraph
 from graphloom.sources import bridge, samples
 
@@ -54,11 +54,18 @@ CALLEE = "r.target_name AS symbol_name, f.path AS file_path, r.line, r.kind"
 CALLABLE = "s.kind IN ('function', 'method') AND s.name NOT IN ('main', 'new', '__init__', '__construct')"
 
 
+#: Queries that read the graph in many places: it is derived and written once for them.
+MANY_READS = ("resolve_", "references_", "callers_by_file", "ancestors", "descendants", "hierarchy_both", "test_", "tested_by", "untested", "stored_", "render_resol", "render_hierarchy", "digest_")
+
+
 def _query(name: str, sql: str | None, *more: str) -> Callable[[Callable[[CodeGraph], DataFrame]], Callable[[CodeGraph], DataFrame]]:
     """Registers f(graph) as a query; `more` are CTEs after the bridge's."""
 
     def put(f: Callable[[CodeGraph], DataFrame]) -> Callable[[CodeGraph], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(bridge.graph(spark, sf_dir))
+        if name.startswith(MANY_READS):
+            QUERIES[name] = lambda spark, sf_dir: f(layout.kept(bridge.graph(spark, sf_dir)))
+        else:
+            QUERIES[name] = lambda spark, sf_dir: f(bridge.graph(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = f"WITH RECURSIVE {', '.join([bridge.CTES, *more])} {sql}"
         return f
@@ -136,14 +143,14 @@ def _register() -> None:
         _plain(f"callees_d{depth}", sql, lambda g, d=depth: calls.find_callees(g, "main", depth=d), *ctes)
     _plain("callers_qualified", f"SELECT DISTINCT {CALLER} FROM {CALLS} WHERE r.kind = 'call' AND r.target_name = 'large_rod_35' AND r.target_qualifier = 'F35'", lambda g: calls.find_callers(g, "F35::large_rod_35"))
     by_file = "SELECT DISTINCT " + CALLER + " FROM resolved r JOIN files f ON r.source_file_id = f.id LEFT JOIN symbols s ON r.source_symbol_id = s.id WHERE r.kind = 'call' AND (SELECT count(*) FROM ids) > 0 AND (r.target_symbol_id IN (SELECT id FROM ids) OR (r.target_symbol_id IS NULL AND r.target_name = 'main'))"
-    _plain("callers_by_file", by_file, lambda g: calls.find_callers(resolve.apply(g), "main", "/src/"), RESOLVED, f"ids AS (SELECT s.id FROM {LOCATED} WHERE s.name = 'main' AND f.path ILIKE '%/src/%')")
+    _plain("callers_by_file", by_file, lambda g: calls.find_callers(_of(g, "main"), "main", "/src/"), RESOLVED, f"ids AS (SELECT s.id FROM {LOCATED} WHERE s.name = 'main' AND f.path ILIKE '%/src/%')")
     _plain("callers_absent_file", f"SELECT DISTINCT {CALLER} FROM {CALLS} WHERE false", lambda g: calls.find_callers(g, "main", "/nowhere/"))
     _plain("callees_qualified_file", f"SELECT {CALLEE} FROM {CALLS} JOIN symbols p ON s.parent_id = p.id WHERE r.kind = 'call' AND s.name = 'large_rod_35' AND p.name = 'F35' AND f.path ILIKE '%n%'", lambda g: calls.find_callees(g, "F35.large_rod_35", "n"))
 
     ref = "SELECT f.path AS source_file, s.name AS source_symbol, r.target_name, r.target_qualifier, r.kind, r.line, r.target_symbol_id IS NOT NULL AS resolved, tf.path AS target_file, t.name AS target_symbol FROM resolved r JOIN files f ON r.source_file_id = f.id LEFT JOIN symbols s ON r.source_symbol_id = s.id LEFT JOIN symbols t ON r.target_symbol_id = t.id LEFT JOIN files tf ON t.file_id = tf.id"
-    _plain("references_all", f"{ref} WHERE r.target_name = 'main'", lambda g: references.find_references(resolve.apply(g), "main"), RESOLVED)
-    _plain("references_kind", f"{ref} WHERE r.target_name = 'F4' AND r.kind = 'inherit'", lambda g: references.find_references(resolve.apply(g), "F4", "inherit"), RESOLVED)
-    _plain("references_qualified", f"{ref} WHERE r.target_name = 'large_rod_35' AND r.target_qualifier = 'F35'", lambda g: references.find_references(resolve.apply(g), "F35::large_rod_35"), RESOLVED)
+    _plain("references_all", f"{ref} WHERE r.target_name = 'main'", lambda g: references.find_references(_of(g, "main"), "main"), RESOLVED)
+    _plain("references_kind", f"{ref} WHERE r.target_name = 'F4' AND r.kind = 'inherit'", lambda g: references.find_references(_of(g, "F4"), "F4", "inherit"), RESOLVED)
+    _plain("references_qualified", f"{ref} WHERE r.target_name = 'large_rod_35' AND r.target_qualifier = 'F35'", lambda g: references.find_references(_of(g, "large_rod_35"), "F35::large_rod_35"), RESOLVED)
 
     _plain("ancestors", ROWS["ancestor"], lambda g: hierarchy.find_hierarchy(g, "F4", "ancestors"), NAMES["ancestor"])
     _plain("descendants", ROWS["descendant"], lambda g: hierarchy.find_hierarchy(g, "F4", "descendants"), NAMES["descendant"])
@@ -196,6 +203,11 @@ def _register() -> None:
     ORACLES["stream_watch"] = expected.rows_sql("name, kind", expected.WATCHED)
 
 
+def _of(g: CodeGraph, name: str) -> CodeGraph:
+    """The graph with the references that can mean a name, resolved."""
+    return resolve.apply(g, resolve.of_name(g, name))
+
+
 def _with_texts(g: CodeGraph) -> CodeGraph:
     """Texts for test files: each opens the .qml file of its block of five."""
     tests = g.symbols.where("is_test = 1").select(F.col("file_id").alias("id")).distinct().join(g.files, "id").select("path", (F.col("id") - F.col("id") % 5 + 4).alias("file_id"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 Rows = Sequence[Any]
@@ -107,3 +107,49 @@ def reference_lines(df: DataFrame) -> DataFrame:
 def json_lines(df: DataFrame) -> DataFrame:
     """to_json() as a column: one object a row, nulls written out."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def call_lines(df: DataFrame) -> DataFrame:
+    """calls() as a column, without its header."""
+    return df.select(F.concat(F.lit("  "), "symbol_name", F.lit(" in "), "file_path", F.lit(":"), "line").alias("line"))
+
+
+def hierarchy_lines(df: DataFrame) -> DataFrame:
+    """hierarchy() as a column."""
+    return df.select(F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.lit(" ("), "kind", F.lit(") in "), "file_path", F.lit(" | "), "relation").alias("line"))
+
+
+def _alias_text() -> Column:
+    return F.coalesce(F.concat(F.lit(" as "), "alias"), F.lit(""))
+
+
+def resolved_import_lines(df: DataFrame) -> DataFrame:
+    """resolved_imports() as a column."""
+    target = F.concat(F.coalesce("target_kind", F.lit("?")), F.lit(" "), "target_symbol", F.lit(" in "), "target_file", F.lit(":"), "target_line")
+    return df.select(F.concat("source_file", F.lit(":"), "line", F.lit(" "), "local_name", F.lit(" ("), "full_path", F.lit(")"), _alias_text(), F.lit(" → "), F.coalesce(target, F.lit("[unresolved]"))).alias("line"))
+
+
+def importer_lines(df: DataFrame) -> DataFrame:
+    """imported_by() as a column, without its header."""
+    return df.select(F.concat(F.lit("  "), "file_path", F.lit(":"), "line", F.lit(" "), "local_name", F.lit(" ("), "full_path", F.lit(")"), _alias_text()).alias("line"))
+
+
+def listed_lines(df: DataFrame) -> DataFrame:
+    """tested_by(), untested() and dead_code() as a column, without their header."""
+    return df.select(F.concat(F.lit("  "), "kind", F.lit(" "), "name", F.lit(" in "), "file_path", F.lit(":"), "line_start").alias("line"))
+
+
+def headed(lines: DataFrame, header: str, empty: str) -> DataFrame:
+    """Lines with a first one that counts them (`12 callers found:`), or the message for none."""
+    said = lines.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, empty).otherwise(F.concat("n", F.lit(f" {header}:"))).alias("line"))
+    return said.unionByName(lines)
+
+
+def status_line(df: DataFrame) -> DataFrame:
+    """status() as a column."""
+    return df.select(F.concat(F.lit("Files: "), "files", F.lit(", Symbols: "), "symbols", F.lit(", References: "), "references").alias("line"))
+
+
+def resolution_line(df: DataFrame) -> DataFrame:
+    """resolution() as a column."""
+    return df.select(F.concat(F.lit("Resolution: "), "resolved", F.lit("/"), "total", F.lit(" resolved, "), "ambiguous", F.lit(" ambiguous, "), "unresolved", F.lit(" unresolved")).alias("line"))

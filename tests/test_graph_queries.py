@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ascii_like, gram, grams, last_segment, split_qualified
+from graphloom.functions.substring import holding, needle_pieces, pieces
+from graphloom.functions.text import ascii_like, last_segment, split_qualified
 from graphloom.operators import calls, hierarchy, imports, link, references, resolve, symbols, testing
 from graphloom.plans.catalog import empty_graph
 from graphloom.sources import bridge
@@ -41,99 +42,112 @@ def test_like_folds_ascii_only(spark):
 
 
 def test_callers(spark):
+    # oven <- bake <- open_shop, and a call outside of any symbol
     b = Builder(spark)
-    target = b.symbol("target.rs", "target", "function", 2)
-    caller, grand = b.symbol("caller.rs", "caller", "function", 8), b.symbol("caller.rs", "grand_caller", "function", 20)
-    b.ref("caller.rs", "call", caller, "target", 9, resolved=target)
-    b.ref("caller.rs", "call", grand, "caller", 21)
-    b.ref("caller.rs", "call", None, "caller", 30)
+    oven = b.symbol("oven.rs", "heat", "function", 4)
+    bake, shop = b.symbol("bakery.rs", "bake", "function", 10), b.symbol("shop.rs", "open_shop", "function", 3)
+    b.symbol("shop.rs", "heat", "function", 40)
+    b.ref("bakery.rs", "call", bake, "heat", 12, resolved=oven)
+    b.ref("shop.rs", "call", shop, "bake", 5)
+    b.ref("shop.rs", "call", None, "bake", 1)
     g = b.graph()
-    assert col(calls.find_callers(g, "target", depth=2), "symbol_name") in (["caller", "grand_caller", "<top-level>"], ["caller", "<top-level>", "grand_caller"])
-    (row,) = calls.find_callers(g, "target", "target.rs", 1).collect()
-    assert row.file_path == "/repo/src/caller.rs"
-    assert calls.find_callers(g, "target", "nowhere.rs", 1).count() == 0
-    assert calls.find_callers(g, "target", depth=0).count() == 0
-    assert calls.find_callers(g, "x::target").count() == 0
-    assert len(col(calls.find_callers(g, "target", depth=9), "symbol_name")) == 3
+    assert sorted(col(calls.find_callers(g, "heat", depth=2), "symbol_name")) == ["<top-level>", "bake", "open_shop"]
+    (row,) = calls.find_callers(g, "heat", "oven.rs", 1).collect()
+    assert (row.symbol_name, row.file_path, row.line) == ("bake", "/repo/src/bakery.rs", 12)
+    # a call resolved elsewhere is none of this file's, and unknown files have none
+    assert calls.find_callers(g, "heat", "shop.rs", 1).count() == 0
+    assert calls.find_callers(g, "heat", "nowhere.rs", 1).count() == 0
+    assert calls.find_callers(g, "heat", depth=0).count() == 0
+    assert calls.find_callers(g, "x::heat").count() == 0
+    assert len(col(calls.find_callers(g, "heat", depth=9), "symbol_name")) == 3
 
 
 def test_callees(spark):
     b = Builder(spark)
-    service = b.symbol("service.rs", "Service", "struct", 2)
-    run, target = b.symbol("service.rs", "run", "method", 5, service), b.symbol("service.rs", "target", "function", 12)
-    b.symbol("service.rs", "leaf", "function", 30)
-    b.ref("service.rs", "call", run, "target", 6)
-    b.ref("service.rs", "call", target, "leaf", 13)
-    rows = calls.find_callees(b.graph(), "Service.run", "service.rs", 2).collect()
-    assert [(r.symbol_name, r.kind, r.file_path) for r in rows] == [("target", "call", "/repo/src/service.rs"), ("leaf", "call", "/repo/src/service.rs")]
+    press = b.symbol("press.rs", "Press", "struct", 1)
+    roll, ink = b.symbol("press.rs", "roll", "method", 3, press), b.symbol("press.rs", "ink", "function", 20)
+    b.symbol("press.rs", "roll", "function", 30)
+    for line in (4, 5):
+        b.ref("press.rs", "call", roll, "ink", line)
+    b.ref("press.rs", "call", ink, "dry", 21)
+    b.ref("press.rs", "inherit", ink, "Paper", 22)
+    rows = calls.find_callees(b.graph(), "Press.roll", "press.rs", 2).collect()
+    assert sorted((r.line, r.symbol_name) for r in rows) == [(4, "ink"), (5, "ink"), (21, "dry")]
+    assert {(r.kind, r.file_path) for r in rows} == {("call", "/repo/src/press.rs")}
 
 
 def test_symbols_and_dead_code(spark):
     b = Builder(spark)
-    service = b.symbol("src/service.rs", "Service", "struct", 3)
-    b.symbol("src/service.rs", "run", "method", 7, service)
-    b.symbol("tests/service_test.rs", "run", "function", 4)
+    kiln = b.symbol("src/kiln.rs", "Kiln", "struct", 1)
+    b.symbol("src/kiln.rs", "fire", "method", 2, kiln)
+    b.symbol("bench/kiln.rs", "fire", "function", 2)
     g = b.graph()
-    assert symbols.find_symbols(g, "Service.run", "method", "src").count() == 1
-    assert symbols.find_symbols(g, "run").count() == 2 and symbols.find_symbols(g, "run", "enum").count() == 0
+    assert symbols.find_symbols(g, "Kiln.fire", "method", "src").count() == 1
+    assert symbols.find_symbols(g, "fire").count() == 2 and symbols.find_symbols(g, "fire", "enum").count() == 0
     b = Builder(spark)
-    for name, line in (("used", 2), ("caller", 8), ("main", 20), ("ignored", 30)):
-        s = b.symbol("lib.rs", name, "function", line)
-        if name == "caller":
-            b.ref("lib.rs", "call", s, "used", 9)
+    ids = {name: b.symbol("pots.rs", name, "function", line) for line, name in enumerate(("glaze", "mix", "main", "spare", "kept"))}
+    b.ref("pots.rs", "call", ids["mix"], "glaze", 1)
+    b.ref("pots.rs", "inherit", ids["mix"], "spare", 1)
     g = b.graph()
-    assert symbols.list_symbols(g, "function", "src").count() == 4
-    assert col(symbols.find_dead_code(g, "src", ["ignored"]), "name") == ["caller"]
+    assert symbols.list_symbols(g, "function", "src").count() == 5
+    assert col(symbols.find_dead_code(g, "src", ["kept"]), "name") == ["mix", "spare"]
 
 
 def test_references(spark):
     b = Builder(spark)
-    service = b.symbol("service.rs", "Service", "struct", 2)
-    run, handle = b.symbol("service.rs", "run", "method", 5, service), b.symbol("controller.rs", "handle", "function", 10)
-    b.ref("controller.rs", "call", handle, "run", 12, "Service", resolved=run)
-    b.ref("controller.rs", "call", handle, "run", 14)
-    b.ref("free.rs", "call", None, "free_fn", 3)
+    boat = b.symbol("boat.rs", "Boat", "struct", 0)
+    sail, trip = b.symbol("boat.rs", "sail", "method", 1, boat), b.symbol("trip.rs", "trip", "function", 7)
+    b.ref("trip.rs", "call", trip, "sail", 8, "Boat", resolved=sail)
+    b.ref("trip.rs", "call", trip, "sail", 9, "Kite")
+    b.ref("harbour.rs", "call", None, "moor", 2)
     g = b.graph()
-    (r,) = references.find_references(g, "Service.run", "call").collect()
-    assert (r.source_symbol, r.target_file, r.resolved) == ("handle", "/repo/src/service.rs", True)
-    (r,) = references.find_references(g, "free_fn").collect()
-    assert r.source_symbol is None and not r.resolved
-    assert references.find_references(g, "run", "import").count() == 0
+    (r,) = references.find_references(g, "Boat.sail", "call").collect()
+    assert (r.source_symbol, r.target_file, r.target_symbol, r.resolved) == ("trip", "/repo/src/boat.rs", "sail", True)
+    (r,) = references.find_references(g, "moor").collect()
+    assert r.source_symbol is None and r.target_file is None and not r.resolved
+    assert references.find_references(g, "sail").count() == 2 and references.find_references(g, "sail", "import").count() == 0
 
 
 def test_hierarchy(spark):
+    # Oak and Elm are trees, a Sapling is an Oak, and a Plant is made by a Tree: a circle
     b = Builder(spark)
-    for name in ("Base", "Mid", "Child"):
-        b.symbol(f"{name.lower()}.rs", name, "struct", 1)
-    b.ref("mid.rs", "inherit", None, "Base", 1)
-    b.ref("child.rs", "inherit", None, "Mid", 1)
+    for name in ("Plant", "Tree", "Oak", "Elm", "Sapling"):
+        b.symbol(f"{name.lower()}.rs", name, "class", 1)
+    for child, parent in (("tree", "Plant"), ("oak", "Tree"), ("elm", "Tree"), ("sapling", "Oak"), ("sapling", "Plant"), ("plant", "Tree")):
+        b.ref(f"{child}.rs", "inherit", None, parent, 1)
     g = b.graph()
-    assert [(r.name, r.depth) for r in hierarchy.find_hierarchy(g, "Child", "ancestors").orderBy("depth").collect()] == [("Mid", 0), ("Base", 1)]
-    assert [r.name for r in hierarchy.find_hierarchy(g, "Base", "descendants").orderBy("depth").collect()] == ["Mid", "Child"]
-    assert hierarchy.find_hierarchy(g, "Base", "sideways").count() == 0
+    rows = lambda df: sorted((r.name, r.depth) for r in df.collect())
+    assert rows(hierarchy.find_hierarchy(g, "Sapling", "ancestors")) == [("Oak", 0), ("Plant", 0), ("Plant", 2), ("Tree", 1), ("Tree", 1)]
+    assert rows(hierarchy.find_hierarchy(g, "Tree", "descendants")) == [("Elm", 0), ("Oak", 0), ("Plant", 0), ("Sapling", 1), ("Sapling", 1), ("Tree", 1)]
+    assert hierarchy.find_hierarchy(g, "Tree", "sideways").count() == 0
+    assert hierarchy.find_hierarchy(g, "Stone").count() == 0
     b = Builder(spark)
-    b.symbol("traits.rs", "Runnable", "trait", 1)
-    b.symbol("worker.rs", "Worker", "struct", 1)
-    b.ref("worker.rs", "implement", None, "Runnable", 2)
-    assert [(r.name, r.kind) for r in hierarchy.find_hierarchy(b.graph(), "Runnable").collect()] == [("Worker", "implement")]
+    b.symbol("gate.rs", "Lockable", "trait", 1)
+    b.symbol("gate.rs", "Gate", "struct", 9)
+    b.ref("gate.rs", "trait_impl", None, "Lockable", 10)
+    both = {(r.name, r.kind, r.relation) for r in hierarchy.find_hierarchy(b.graph(), "Lockable").collect()}
+    # a reference belongs to all symbols of its file
+    assert both == {("Lockable", "trait_impl", "ancestor"), ("Lockable", "trait_impl", "descendant"), ("Gate", "trait_impl", "descendant")}
 
 
 def test_imports(spark):
     b = Builder(spark)
-    b.symbol("src/service.rs", "Service", "struct", 1)
-    b.symbol("vendor/service.rs", "Service", "struct", 1)
-    b.imported("src/app.rs", "LocalService", "src::service::Service", "LocalService", 5)
-    (r,) = imports.resolve_import(b.graph(), "LocalService", "app.rs").collect()
-    assert (r.target_file, r.target_symbol, r.target_kind, r.alias) == ("/repo/src/service.rs", "Service", "struct", "LocalService")
-    b = Builder(spark)
-    b.symbol("src/widget.rs", "Widget", "struct", 1)
-    b.imported("src/consumer.rs", "Widget", "crate::renamed", None, 4)
-    b.imported("tests/consumer_test.rs", "Widget", "crate::renamed", None, 6)
-    b.imported("src/consumer.rs", "gone", "crate::gone", None, 9)
+    b.symbol("lib/maps/atlas.rs", "Atlas", "struct", 3)
+    b.symbol("lib/stars/atlas.rs", "Atlas", "trait", 4)
+    b.symbol("lib/stars/sky.rs", "Sky", "struct", 5)
+    b.imported("bin/a.rs", "Chart", "lib::stars::Atlas", "Chart", 1)
+    b.imported("bin/a.rs", "Atlas", "elsewhere::Atlas", None, 2)
+    b.imported("bin/b.rs", "Sky", "lib::moved", None, 3)
+    b.imported("bin/b.rs", "lost", "lib::lost", None, 4)
     g = b.graph()
-    assert col(imports.resolve_import(g, "renamed"), "target_symbol") == ["Widget", "Widget"]
-    assert imports.find_imported_by(g, "renamed", "tests").count() == 1
-    assert col(imports.resolve_import(g, "gone"), "target_file") == [None]
+    found = {(r.source_file, r.line): (r.target_file, r.target_kind) for r in imports.resolve_import(g, "a", "bin").collect()}
+    # all parts in one path; else the first by path
+    assert found["/repo/bin/a.rs", 1] == ("/repo/lib/stars/atlas.rs", "trait")
+    assert found["/repo/bin/a.rs", 2] == ("/repo/lib/maps/atlas.rs", "struct")
+    (r,) = imports.resolve_import(g, "moved").collect()
+    assert (r.target_symbol, r.target_file) == ("Sky", "/repo/lib/stars/sky.rs")
+    assert col(imports.resolve_import(g, "lost"), "target_file") == [None]
+    assert imports.find_imported_by(g, "LIB::", "bin/b").count() == 2 and imports.find_imported_by(g, "zzz").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -176,9 +190,23 @@ def test_lines_meet_symbols_of_any_length(spark):
 
 @given(st.text("ab:/.\u00e9", max_size=8), st.text("ab:/.\u00e9", max_size=8), st.text("ab:/.\u00e9", max_size=8))
 @settings(max_examples=10, deadline=None)
-def test_a_text_has_the_gram_of_all_it_holds(spark, before, held, after):
-    (r,) = spark.createDataFrame([(before + held + after, held)], "whole string, held string").select(grams(F.col("whole")).alias("all"), gram(F.col("held")).alias("one")).collect()
-    assert r.one in r.all
+def test_a_text_has_the_pieces_of_all_it_holds(spark, before, held, after):
+    (r,) = spark.createDataFrame([(before + held + after, held)], "whole string, held string").select(pieces(F.col("whole")).alias("all"), needle_pieces(F.col("held")).alias("some")).collect()
+    assert r.some and set(r.some) <= set(r.all)
+
+
+def test_many_substrings_in_many_texts(spark, monkeypatch):
+    from graphloom.functions import substring
+
+    texts = [(1, "/a/bcd/efg.rs"), (2, ""), (3, None), (4, "bcd" * 4000 + "x"), (5, "caf\u00e9%_"), (6, "bcd")]
+    needles = ["bcd", "", None, "x", "f\u00e9%", "bcd", "efg.rs/", "cdb", "%_", "a/bcd/efg"]
+    want = {(n, i) for n in needles for i, t in texts if n is not None and t is not None and n in t}
+    t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    rows = [tuple(r) for r in holding(t, n).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    # with a stored index, and a text that is copied for a few pairs only
+    monkeypatch.setattr(substring, "CHUNK", 2)
+    assert {tuple(r) for r in holding(t, n, substring.index(t.where("text is not null"))).collect()} == want
 
 
 def test_tests_and_reachability(spark):
@@ -197,39 +225,74 @@ def test_tests_and_reachability(spark):
 
 
 CASES = [
-    ("module", "melee", [("formulas/melee.rs", None), ("formulas/spell.rs", None)], "tests/combat.rs", 0),
-    ("parent", "Leash", [("combat/leash.rs", "Leash"), ("movement/path.rs", "Path")], "x.rs", 0),
-    ("same file", None, [("src/local.rs", None), ("src/other/local.rs", None)], "src/local.rs", 0),
-    ("ambiguous", None, [("a.rs", None), ("b.rs", None)], "source.rs", None),
-    ("no segments", "::", [("a.rs", None), ("b.rs", None)], "source.rs", None),
+    # the rule, the qualifier, candidates (path, parent), the file of the call, the one that is meant
+    ("d", "knots", [("rope/knots.rs", None), ("rope/loops.rs", None)], "demo/tie.rs", 0),
+    ("d", "rope::loops", [("rope/knots.rs", None), ("rope/loops.rs", None)], "demo/tie.rs", 1),
+    ("d", "Crane", [("yard/lift.rs", "Crane"), ("yard/dig.rs", "Shovel")], "demo/tie.rs", 0),
+    ("c", "Shovel", [("yard/lift.rs", "Crane"), ("yard/dig.rs", "Shovel")], "yard/lift.rs", 0),
+    ("ambiguous", None, [("yard/lift.rs", None), ("yard/dig.rs", None)], "demo/tie.rs", None),
+    ("ambiguous", "::", [("yard/lift.rs", None), ("yard/dig.rs", None)], "demo/tie.rs", None),
+    ("ambiguous", "yard", [("yard/lift.rs", None), ("yard/dig.rs", None)], "demo/tie.rs", None),
+    ("b", "other", [("yard/lift.rs", None)], "demo/tie.rs", 0),
 ]
 
 
-@pytest.mark.parametrize(("name", "qualifier", "candidates", "source", "wanted"), CASES)
-def test_resolution_rules(spark, name, qualifier, candidates, source, wanted):
+@pytest.mark.parametrize(("rule", "qualifier", "candidates", "source", "wanted"), CASES)
+def test_resolution_rules(spark, rule, qualifier, candidates, source, wanted):
     b = Builder(spark)
-    ids = [b.symbol(p, "f", "function", 9, b.symbol(p, parent, "struct", 1) if parent else None) for p, parent in candidates]
-    b.ref(source, "call", None, "f", 3, qualifier)
-    rows = resolve.resolve(b.graph())
-    assert [r.target_symbol_id for r in rows.collect()] == [None if wanted is None else ids[wanted]]
-    if wanted is None:
-        s = resolve.stats(rows).first()
-        assert (s.total, s.resolved, s.ambiguous, s.unresolved) == (1, 0, 1, 0)
+    ids = [b.symbol(p, "pull", "function", 9, b.symbol(p, parent, "struct", 1) if parent else None) for p, parent in candidates]
+    b.ref(source, "call", None, "pull", 3, qualifier)
+    g = b.graph()
+    for rows in (resolve.resolve(g), resolve.resolve(g, resolve.of_name(g, "pull"))):
+        assert [(r.target_symbol_id, r.rule) for r in rows.collect()] == [(None if wanted is None else ids[wanted], rule)]
+    s = resolve.stats(rows).first()
+    assert (s.total, s.resolved, s.ambiguous, s.unresolved) == (1, int(wanted is not None), int(wanted is None), 0)
 
 
-def test_resolution_by_alias_and_import_path(spark):
+def imports_and_refs(spark):
     b = Builder(spark)
-    widget = b.symbol("widgets/widget.rs", "Widget", "struct", 1)
-    b.imported("app.rs", "LocalWidget", "old::Path", line=1)
-    b.imported("app.rs", "LocalWidget", "crate::widgets::Widget", line=2)
-    b.ref("app.rs", "call", None, "LocalWidget", 3)
-    one = b.symbol("n1/x.rs", "g", "function", 1)
-    b.symbol("n2/x.rs", "g", "function", 1)
-    b.imported("app.rs", "g", "n1/x", line=3)
-    b.ref("app.rs", "call", None, "g", 4)
-    b.ref("app.rs", "call", None, "nothing", 5)
-    rows = {r.target_name: (r.target_symbol_id, r.rule) for r in resolve.resolve(b.graph()).collect()}
-    assert rows == {"LocalWidget": (widget, "a"), "g": (one, "e"), "nothing": (None, "unresolved")}
+    lamp = b.symbol("shop/lamp.rs", "Lamp", "struct", 1)
+    b.imported("home.rs", "Light", "old::Torch", line=1)
+    b.imported("home.rs", "Light", "shop::Lamp", line=2)
+    b.ref("home.rs", "call", None, "Light", 3)
+    near = b.symbol("east/wing.rs", "hall", "function", 1)
+    b.symbol("west/wing.rs", "hall", "function", 1)
+    b.imported("home.rs", "hall", "east/wing", line=3)
+    b.ref("home.rs", "call", None, "hall", 4)
+    b.ref("home.rs", "call", None, "nothing", 5)
+    return b, lamp, near
+
+
+def test_resolution_by_alias_and_import_path(spark):
+    b, lamp, near = imports_and_refs(spark)
+    g = b.graph()
+    rows = {r.target_name: (r.target_symbol_id, r.rule) for r in resolve.resolve(g).collect()}
+    assert rows == {"Light": (lamp, "a"), "hall": (near, "e"), "nothing": (None, "unresolved")}
+    # what can mean Lamp has another name
+    assert [(r.target_name, r.target_symbol_id) for r in resolve.resolve(g, resolve.of_name(g, "Lamp")).collect()] == [("Light", lamp)]
+
+
+def test_a_change_resolves_only_what_it_touches(spark):
+    b, lamp, near = imports_and_refs(spark)
+    gone = len(b._refs)
+    b.ref("home.rs", "call", None, "soon", 6)
+    g = b.graph()
+    before = resolve.resolve(g)
+    symbols, refs, imported = g.symbols, g.refs, g.imports
+    second = symbols.where("id = 1").withColumn("id", F.lit(99).cast("long"))  # another Lamp, so the alias means none
+    new = refs.where(f"id = {gone + 1}").withColumn("id", F.lit(70).cast("long")).withColumn("target_name", F.lit("hall"))
+    after = resolve.replace(g, symbols=symbols.unionByName(second), refs=refs.where(f"id <> {gone}").unionByName(new))
+    none = resolve.Change(symbols.limit(0), symbols.limit(0), imported.limit(0), imported.limit(0), refs.limit(0), refs.limit(0))
+    change = resolve.replace(none, symbols_added=second, refs_added=new, refs_removed=refs.where(f"id = {gone}"))
+    rows = {r.id: (r.target_name, r.target_symbol_id, r.rule, r.anew) for r in resolve.update(before, after, change).collect()}
+    assert rows == {1: ("Light", None, "unresolved", True), 2: ("hall", near, "e", False), gone + 1: ("soon", None, "unresolved", False), 70: ("hall", near, "e", True)}
+    whole = {r.id: (r.target_symbol_id, r.rule) for r in resolve.resolve(after).collect()}
+    assert {i: r[1:3] for i, r in rows.items()} == whole
+    # nothing changed, nothing is resolved anew; an import that goes away is enough
+    assert {r.anew for r in resolve.update(before, g, none).collect()} == {False}
+    without = resolve.replace(g, imports=imported.where("local_name <> 'hall'"))
+    rows = {r.target_name: (r.rule, r.anew) for r in resolve.update(before, without, resolve.replace(none, imports_removed=imported.where("local_name = 'hall'"))).collect()}
+    assert rows["hall"] == ("ambiguous", True) and not rows["Light"][1]
 
 
 def test_languages(spark):
@@ -251,9 +314,9 @@ def test_properties(derived):
     assert all(a <= b for a, b in zip(by_depth, by_depth[1:]))
     called = {r.target_name for r in derived.refs.where("kind = 'call'").collect()}
     dead = set(col(symbols.find_dead_code(derived), "name"))
-    assert len(dead) <= 56 and not dead & called
+    assert len(dead) == 42 and not dead & called
     reached = set(col(testing.test_reachable(derived), "name"))
-    assert len(reached) == 74 and not reached & set(col(testing.find_untested(derived), "name"))
+    assert len(reached) == 195 and not reached & set(col(testing.find_untested(derived), "name"))
 
 
 def test_walks_beyond_the_unrolled_depth_agree(derived, monkeypatch):
