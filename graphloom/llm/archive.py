@@ -114,7 +114,7 @@ def trained(pages: DataFrame, sample: int = 1000, sample_bytes: int = 32_768, si
     # hashes below a bound leave about 1.5 * sample rows of any number, so tasks send few
     n = max(pages.count(), 1)
     share = min(1.0, 1.5 * sample / n)
-    asked = pages.select(h.alias("h"), "page_id", "url", F.substring("html", 1, sample_bytes).alias("html")).where(F.col("h") <= int((share * 2 - 1) * (2**63 - 1)))
+    asked = pages.select(h.alias("h"), "page_id", "url", F.substring("html", 1, sample_bytes).alias("html")).where(F.col("h") <= min(int((share * 2 - 1) * 2**63), 2**63 - 1))
     least = asked.orderBy("h", "page_id", "url").limit(sample)
     rows = least.collect()
     records = [record(r.page_id, r.url, (r.html or "").encode(), None, "1970-01-01T00:00:00Z") for r in rows]
