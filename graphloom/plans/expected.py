@@ -8,14 +8,14 @@ IMPORTS = {"local_name": "VARCHAR", "full_path": "VARCHAR", "alias": "VARCHAR",
 
 EXTRACTED = {
     "rust": (
-        [("Foo", "struct", 1, 1, None, "pub", None, False), ("show", "method", 3, 3, "Display", None, "fn (&self)", False), ("checks", "function", 6, 9, None, None, "fn ()", True)],
-        [("trait_impl", "Display", "Foo", 2, None), ("call", "helper", None, 3, "show"), ("call", "assert_eq!", None, 7, "checks"), ("call", "add", "crate::math", 7, "checks"), ("call", "new", "Foo", 8, "checks")],
-        [("Display", "std::fmt::Display", None, 0)],
+        [("Kettle", "struct", 1, 3, None, "pub", None, False), ("pour", "method", 5, 5, "Write", None, "fn (&mut self)", False), ("fills", "function", 8, 11, None, None, "fn ()", True)],
+        [("trait_impl", "Write", "Kettle", 4, None), ("call", "drain", None, 5, "pour"), ("call", "assert_eq!", None, 9, "fills"), ("call", "open", "crate::tap", 9, "fills"), ("call", "cold", "Kettle", 10, "fills")],
+        [("Write", "std::io::Write", None, 0)],
     ),
     "python": (
-        [("Dog", "class", 2, 5, None, None, None, False), ("__init__", "method", 3, 4, "Dog", "protected", "def (self, name)", False), ("_bark", "method", 5, 5, "Dog", "protected", "def (self)", False), ("test_dog", "function", 6, 7, None, None, "def ()", True)],
-        [("inherit", "Root", None, 2, "Dog"), ("inherit", "Animal", "zoo.Animal", 2, "Dog"), ("call", "clean", None, 4, "__init__"), ("call", "print", None, 5, "_bark"), ("call", "upper", None, 5, "_bark"), ("call", "_bark", None, 7, "test_dog"), ("call", "Dog", None, 7, "test_dog")],
-        [("path", "os.path", None, 0), ("Root", "lib.core.Base", "Root", 1)],
+        [("Poster", "class", 2, 5, None, None, None, False), ("roll", "method", 3, 4, "Poster", None, "def (self, width)", False), ("_glue", "method", 5, 5, "Poster", "protected", "def (self)", False), ("test_poster", "function", 6, 7, None, None, "def ()", True)],
+        [("inherit", "Page", None, 2, "Poster"), ("inherit", "Hanging", "wall.Hanging", 2, "Poster"), ("call", "trim", None, 4, "roll"), ("call", "stick", None, 5, "_glue"), ("call", "half", None, 5, "_glue"), ("call", "_glue", None, 7, "test_poster"), ("call", "Poster", None, 7, "test_poster")],
+        [("decoder", "json.decoder", None, 0), ("Page", "press.core.Sheet", "Page", 1)],
     ),
     "php": (
         [("UserTest", "class", 2, 7, None, None, None, False), ("testSave", "method", 3, 6, "UserTest", "public", "function (int $id)", True), ("boot", "function", 8, 8, None, None, "function ()", False)],

@@ -13,8 +13,8 @@ from graphloom.plans.tables import durable, shared_dir
 from graphloom.sources.extract import extract_files
 
 SOURCES = {
-    "src/lib.rs": ("rust", "use std::fmt::Display;\npub struct Foo { value: i32 }\nimpl Display for Foo {\n    fn show(&self) -> i32 { helper(self.value) }\n}\n#[test]\nfn checks() {\n    assert_eq!(crate::math::add(1, 2), 3);\n    let x = Foo::new();\n}\n"),
-    "src/app.py": ("python", "import os.path\nfrom lib.core import Base as Root\nclass Dog(Root, zoo.Animal):\n    def __init__(self, name):\n        self.name = clean(name)\n    def _bark(self): print(self.name.upper())\ndef test_dog():\n    Dog('x')._bark()\n"),
+    "src/lib.rs": ("rust", "use std::io::Write;\npub struct Kettle {\n    litres: u8,\n}\nimpl Write for Kettle {\n    fn pour(&mut self) -> u8 { drain(self.litres) }\n}\n#[test]\nfn fills() {\n    assert_eq!(crate::tap::open(2), 7);\n    let k = Kettle::cold();\n}\n"),
+    "src/app.py": ("python", "import json.decoder\nfrom press.core import Sheet as Page\nclass Poster(Page, wall.Hanging):\n    def roll(self, width):\n        self.width = trim(width)\n    def _glue(self): stick(self.width.half())\ndef test_poster():\n    Poster(3)._glue()\n"),
     "src/User.php": ("php", "<?php\nuse App\\Models\\User;\nclass UserTest extends Base implements Runs {\n    public function testSave(int $id) {\n        User::find($id);\n        $this->save(new App\\Item());\n    }\n}\nfunction boot() { start(); }\n"),
     "src/view.tsx": ("typescript", "import React, { useState as st } from 'react';\nexport class View extends Base implements Shown {\n    private cache(): void { fill(); }\n}\nexport function add(a: number) { return wrap(a); }\nconst twice = (x) => add(add(x));\nit('renders', () => {\n    render(<View />);\n});\n"),
     "ui/Main.qml": ("qml", "import QtQuick.Controls\nPage {\n  property real zoom: 1.5\n  signal panned(real dx, real dy)\n  component Tick: Item { property bool major }\n  function fit(w, h) {\n    zoom = w / h\n  }\n}\n"),
