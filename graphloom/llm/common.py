@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import shared_dir
+from graphloom.plans.tables import discard, durable, shared_dir  # noqa: F401
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -20,28 +20,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder as Parquet and reread: lineage is cut, and
-    neither a lost executor nor a second use computes it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
-    return out
-
-
-_PATHS: dict[int, str] = {}
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of durable() that no later step reads."""
-    path = _PATHS.pop(id(df), None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def remainder_is_two(column: str, modulus: int) -> Column:
     """crc32 of the id as text leaves 2; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == 2, F.lit(False))
@@ -69,6 +47,13 @@ def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in added]
 
 
+def plain_names(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but the used ones under a name of its own, so that no added
+    column can meet one of the caller's; and what gives the old columns back."""
+    inside = [c if c in used else f"_c{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*inside), lambda out: out.select(*[F.col(i).alias(c) for i, c in zip(inside, docs.columns)])
+
+
 def small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A table of a few rows that stand in the plan itself; columns as in `a int, b string`."""
     names = [c.split()[0] for c in columns.split(",")]

@@ -11,8 +11,9 @@ version); the nearest one (ties: the smaller name) is the file's licence.
 idf = 1 + log((1 + N) / (1 + df)), df over all files for template words; words
 outside the templates weigh as if in no other file.
 
-Most files and windows are passed over without a vector: of each template's needed
-words the rarest one is its mark, and only what holds a mark can fit.
+Most files and windows are passed over without a vector: only what holds all needed
+words of some template can fit, so a word that is common in another language (mit)
+selects nothing by itself.
 
 A file without a licence inherits that of the nearest ancestor directory with a
 licence file, its own directory first.  Directories are resolved once each and
@@ -60,7 +61,7 @@ TEMPLATES: dict[str, list[tuple[str, str]]] = {
     "CC-BY-SA-4.0": [("attribution sharealike 4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"), ("cc by sa 4", "Licensed under CC BY-SA 4.0")],
     "CC0-1.0": [("cc0", "CC0 1.0 Universal public domain dedication"), ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0")],
     "ISC": [("isc", "ISC License"), ("fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")],
-    "MIT": [("mit license", "MIT License"), ("mit license", "Released under the MIT License"), ("mit license", "Licensed under the MIT license"), ("mit license", "The MIT License (MIT)"), ("mit license", "MIT License Copyright (c)"), ("hereby sublicense", _GRANT), ("hereby sublicense", f"MIT License {_GRANT} {_NOTICE} {_AS_IS}")],
+    "MIT": [("mit license", "MIT License"), ("mit license", "Released under the MIT License"), ("mit license", "Licensed under the MIT license"), ("mit license", "The MIT License (MIT)"), ("mit license", "MIT License Copyright (c)"), ("mit licence", "MIT Licence"), ("mit licence", "Released under the MIT Licence"), ("mit licence", "Licensed under the MIT licence"), ("mit licensed", "MIT licensed"), ("mit licensed", "Licensed under MIT"), ("mit licensed", "Licensed under the MIT"), ("mit released", "Released under MIT"), ("mit distributed", "Distributed under MIT"), ("mit available", "Available under MIT"), ("hereby sublicense", _GRANT), ("hereby sublicense", f"MIT License {_GRANT} {_NOTICE} {_AS_IS}")],
     "MPL-2.0": [("mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), ("mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), ("mozilla 2", "Mozilla Public License Version 2.0")],
     "Unlicense": [("unencumbered", "This is free and unencumbered software released into the public domain."), ("unlicense", "The Unlicense")],
     "Zlib": [("zlib", "zlib License"), ("altered freely", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: altered source versions must be plainly marked as such")],
@@ -131,10 +132,16 @@ def own_licences(files: DataFrame, key: list[str], templates: dict[str, list[tup
     idf = {w: 1 + math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}
     outside = 1 + math.log((1 + n) / 2)
     all_ = weighted(templates, idf)
-    telling = {max(needs, key=lambda w: (idf[w], w)) for _, _, _, needs in all_}
-    has_mark = lambda t: F.arrays_overlap(words(t), listed(telling))
-    cut = files.where(has_mark(text)).select(*key, F.coalesce("text", F.lit("")).alias("text"), worded_lines(text).alias("lines"))
-    header = F.explode(F.filter(candidates(F.col("path"), F.col("text"), F.col("lines")), has_mark)).alias("header")
+    sets = F.array(*map(listed, sorted({tuple(sorted(needs)) for _, _, _, needs in all_})))
+    telling = listed({w for _, _, _, needs in all_ for w in needs})
+
+    def may_fit(t: Column) -> Column:
+        # an array of one, so that a text's words are cut once for all templates
+        own = F.array(F.array_intersect(words(t), telling))
+        return F.exists(own, lambda found: F.exists(sets, lambda needs: F.size(F.array_except(needs, found)) == 0))
+
+    cut = files.where(may_fit(text)).select(*key, F.coalesce("text", F.lit("")).alias("text"), worded_lines(text).alias("lines"))
+    header = F.explode(F.filter(candidates(F.col("path"), F.col("text"), F.col("lines")), may_fit)).alias("header")
     # the only table cut from texts; later rows carry a header's digest, not the header
     held = durable(cut.select(*key, header).withColumn("hid", F.unhex(F.md5("header"))), "headers")
     rows = [(w, name, form, x, w in needs) for name, form, v, needs in all_ for w, x in sorted(v.items())]

@@ -17,8 +17,8 @@ emitting pairs that are already connected.  So each candidate pair is either
 verified or known to be connected, whatever the size of its bucket.
 
 Buckets of more than HOT texts are few (at most texts * BANDS / HOT) and are joined
-apart from the others, by a broadcast where their number is below HOT_BUCKETS, so
-that a bucket's texts never meet in one task.
+apart from the others, by broadcasts of about HOT_BUCKETS of them each, so that a
+bucket's texts never meet in one task.
 
 Defined cases: null text counts as empty.  A null id is replaced by
 xxhash64(text).  Rows that share an id are one document, so their classes join.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches, discard, durable
+from graphloom.llm.common import bounded_batches, discard, durable, plain_names
 from graphloom.llm.components import components
 
 BANDS, ROWS = 20, 4
@@ -179,11 +179,15 @@ def _by_band(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """rows joined with facts (one row for each band, with n, its texts) by band;
     hot bands' rows stay where they are."""
     hot = facts.where(F.col("n") > HOT)
-    if hot.count() > HOT_BUCKETS:
-        return rows.join(facts, "band")
-    hot = F.broadcast(hot)
-    cold = rows.join(hot.select("band"), "band", "left_anti").join(facts.where(F.col("n") <= HOT), "band")
-    return cold.unionByName(rows.join(hot, "band"))
+    # slices of hot bands, each small enough to be sent to every executor
+    slices = hot.count() // HOT_BUCKETS + 1
+    cold, out = rows, None
+    for k in range(slices):
+        part = F.broadcast(hot if slices == 1 else hot.where(F.pmod(F.xxhash64("band", F.lit(7)), F.lit(slices)) == k))
+        cold = cold.join(part.select("band"), "band", "left_anti")
+        some = rows.join(part, "band")
+        out = some if out is None else out.unionByName(some)
+    return cold.join(facts.where(F.col("n") <= HOT), "band").unionByName(out)
 
 
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +270,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the least id of their class, one row for each class."""
     texts, _ = text_classes(docs)
     kept = texts.where("tid = class_id").groupBy(F.col("tid").alias("_tid")).agg(F.min(F.struct("_key", "rows")).alias("k")).select("_tid", "k._key", "k.rows")
-    found = _identified(docs).join(kept, ["_key", "_tid"])
-    once = found.where("rows = 1").select(*docs.columns)
-    again = found.where("rows > 1").dropDuplicates(["_key", "_tid"]).select(*docs.columns)
-    return once.unionByName(again)
+    plain, back = plain_names(docs, ("doc_id", "text"))
+    found = _identified(plain).join(kept, ["_key", "_tid"])
+    return back(found.where("rows = 1")).unionByName(back(found.where("rows > 1").dropDuplicates(["_key", "_tid"])))

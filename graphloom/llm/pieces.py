@@ -13,7 +13,9 @@ checked), so the search starts afresh there; the same stretch is searched once
 and remembered, up to twice `MEMORY` stretches.
 
 Defined cases: null text gives null ids, empty text no ids; a null or empty
-list decodes to null or the empty text.
+list decodes to null or the empty text.  Texts of any length are encoded whole, a
+stretch at a time.  Repeated rows get a row each, no rows give none.  A column named
+like the added one is replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_batches
+from graphloom.llm.common import bounded_batches, fresh, named, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -132,13 +135,14 @@ class Decoder:
 
 def _mapped(docs: DataFrame, kept: list[str], source: str, name: str, kind: T.DataType, make: type, of: Vocabulary, method: str, arrow: pa.DataType) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    kept = [c for c in kept if c != name]
+    kept = without(kept, (name,))
+    (held,) = fresh([*kept, name], "in")
     sent = docs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = getattr(_worker(sent, make), method)
         for batch in batches:
-            column = batch.column("_in")
+            column = batch.column(len(kept))
             if source == "text":
                 values = [None if x is None else call(x) for x in column.to_pylist()]
                 cut = np.concatenate(([0], np.cumsum([len(x or ()) for x in values]))).astype(np.int32)
@@ -146,10 +150,10 @@ def _mapped(docs: DataFrame, kept: list[str], source: str, name: str, kind: T.Da
                 out = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat), mask=pa.array([x is None for x in values]) if None in values else None)
             else:
                 out = pa.array([None if not x.is_valid else call(x.values.to_numpy(zero_copy_only=False).tolist() if len(x) else ()) for x in column], arrow)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), out], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], names=[*kept, name])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, kind)])
-    return docs.select(*kept, docs[source].alias("_in")).mapInArrow(run, schema)
+    return docs.select(*named(kept), F.col(source).alias(held)).mapInArrow(run, schema)
 
 
 _WORKER: dict = {}
