@@ -47,6 +47,11 @@ def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in added]
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The same columns named by their place, for mapInArrow, which cannot take every name."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def plain_names(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with every column but the used ones under a name of its own, so that no added
     column can meet one of the caller's; and what gives the old columns back."""

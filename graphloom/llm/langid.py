@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches, durable, fresh, named, without
+from graphloom.llm.common import bounded_batches, durable, fresh, named, positional, without
 
 DIMS = 1 << 13
 ADDED = ("lang_pred", "score", "rejected")
@@ -186,4 +186,4 @@ def predict(docs: DataFrame, model: Centroids | None, kept: list[str] | None = N
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*named(kept), F.col("text").alias(source), letters.alias(lettered)).mapInArrow(run, schema)
+    return positional(docs.select(*named(kept), F.col("text").alias(source), letters.alias(lettered))).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches, durable, fresh, named, without
+from graphloom.llm.common import bounded_batches, durable, fresh, named, positional, without
 
 GROUP_ROWS = 50_000
 ADDED = ("n_tokens", "bucket", "batch_id", "padding", "over_budget")
@@ -46,7 +46,7 @@ def with_length(docs: DataFrame, kept: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n)], names=[*kept, "n_tokens"])
 
     fields = [docs.schema[c] for c in kept]
-    return docs.select(*named(kept), F.col("text").alias(source)).mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType())]))
+    return positional(docs.select(*named(kept), F.col("text").alias(source))).mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType())]))
 
 
 def _best_starts(best: np.ndarray, x: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_batches, fresh, named, without
+from graphloom.llm.common import bounded_batches, fresh, named, positional, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -153,7 +153,7 @@ def _mapped(docs: DataFrame, kept: list[str], source: str, name: str, kind: T.Da
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], names=[*kept, name])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, kind)])
-    return docs.select(*named(kept), F.col(source).alias(held)).mapInArrow(run, schema)
+    return positional(docs.select(*named(kept), F.col(source).alias(held))).mapInArrow(run, schema)
 
 
 _WORKER: dict = {}

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytesops as B
-from graphloom.llm.common import bounded_batches, fresh, named, without
+from graphloom.llm.common import bounded_batches, fresh, named, positional, without
 
 PREFIXES = (4, 5, 6)
 BITS = 20
@@ -196,4 +196,4 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, kept: list[
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, *ADDED])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*named(kept), F.col("text").alias(source)).mapInArrow(run, schema)
+    return positional(docs.select(*named(kept), F.col("text").alias(source))).mapInArrow(run, schema)
