@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from graphloom.plans.tables import discard, durable
+from graphloom.plans.tables import discard, durable, durable_counted
 
 SIZES = (1, 2, 3)
 #: Pairs that one copy of a text is checked for.
@@ -73,10 +74,14 @@ def holding(texts: DataFrame, needles: DataFrame, postings: DataFrame | None = N
     count once; the empty needle is in every text.
     """
     texts = texts.where("text is not null")
-    asked = durable(needles.select("needle").where("needle is not null").distinct(), "needles").withColumn("pieces", needle_pieces(F.col("needle")))
+    written, n = durable_counted(needles.select("needle").where("needle is not null").distinct(), "needles")
+    if not n:
+        discard(written)
+        return texts.sparkSession.createDataFrame([], StructType([needles.schema["needle"], texts.schema["id"]]))
+    asked = written.withColumn("pieces", needle_pieces(F.col("needle")))
     stored = durable(index(texts, asked.select(F.explode("pieces").alias("piece"))), "postings") if postings is None else postings
     # each step is read twice by the next one
     pairs = durable(candidates(asked, stored), "pairs")
     out = durable(checked(pairs, texts, lambda x, text: F.contains(text, x["needle"])).select("needle", "id"), "held")
-    discard(asked, pairs, *([stored] if postings is None else []))
+    discard(written, pairs, *([stored] if postings is None else []))
     return out
