@@ -54,8 +54,9 @@ CALLEE = "r.target_name AS symbol_name, f.path AS file_path, r.line, r.kind"
 CALLABLE = "s.kind IN ('function', 'method') AND s.name NOT IN ('main', 'new', '__init__', '__construct')"
 
 
-#: Queries that read the graph in many places: it is derived and written once for them.
-MANY_READS = ("resolve_", "references_", "callers_by_file", "ancestors", "descendants", "hierarchy_both", "test_", "tested_by", "untested", "stored_", "render_resol", "render_hierarchy", "digest_")
+#: Queries that join references or read the graph in many places: it is derived and
+#: written once for them, and the optimizer then knows the size of each table.
+MANY_READS = ("resolve_", "references_", "callers_", "callees_", "dead_code", "ancestors", "descendants", "hierarchy_both", "test_", "tested_by", "untested", "enclosing_", "stored_", "link_", "render_", "digest_")
 
 
 def _query(name: str, sql: str | None, *more: str) -> Callable[[Callable[[CodeGraph], DataFrame]], Callable[[CodeGraph], DataFrame]]:
