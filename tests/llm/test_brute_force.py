@@ -23,18 +23,20 @@ def documents():
     return sorted(rows, key=lambda r: r["doc_id"])
 
 
-def buckets(text):
-    return {xxhash.xxh64_intdigest(w.encode(), seed=42) & (fingerprints.TERMS - 1) for w in re.split(r"[\x20\x09-\x0D]+", text.lower())}
+def term_hashes(text):
+    return {int(np.uint64(xxhash.xxh64_intdigest(w.encode(), seed=42)).astype(np.int64)) for w in re.split(r"[\x20\x09-\x0D]+", text.lower())}
 
 
-def test_fingerprint_query(spark, documents):
+@pytest.mark.parametrize("in_plan", [fingerprints.IN_PLAN, 10])
+def test_fingerprint_query(spark, documents, monkeypatch, in_plan):
+    monkeypatch.setattr(fingerprints, "IN_PLAN", in_plan)
     texts = [r["text"] for r in documents]
     n = len(texts)
-    df = collections.Counter(b for t in texts for b in buckets(t))
+    df = collections.Counter(b for t in texts for b in term_hashes(t))
     lexicon = {b for b, c in df.items() if n * math.exp(-7) <= c <= max(n * math.exp(-3), 1)}
 
     def parts(text):
-        kept = sorted(buckets(text) & lexicon)
+        kept = sorted(term_hashes(text) & lexicon)
         out = []
         for s in fingerprints.SCALES:
             for k in range(fingerprints.EACH):

@@ -189,9 +189,11 @@ def test_fingerprints(spark):
     assert len(ties) == 4
 
 
+@pytest.mark.parametrize("coarse", [fingerprints.COARSE, 3])
 @pytest.mark.parametrize("ids", [[9 * 10**18, -9 * 10**18, 0, 5], [None] * 4, [10**15, *range(1, 60)], [7] * 30 + [None] * 30])
-def test_next_document_of_any_ids(spark, monkeypatch, ids):
+def test_next_document_of_any_ids(spark, monkeypatch, ids, coarse):
     monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
     texts = [f"{k} words of text {k * k}" for k in range(len(ids))]
     rows = fingerprints.fingerprints(frame(spark, texts, ids)).collect()
     hashes = {r.t: r.h for r in frame(spark, texts).selectExpr("text as t", "xxhash64(text) as h").collect()}
@@ -212,8 +214,7 @@ def test_blocks_are_even_beside_an_outlier(spark, monkeypatch):
 
 def test_fingerprint_subsets_are_sorted_term_hashes(spark):
     docs = frame(spark, ["b a a c", "c a b"])
-    bits = np.full(fingerprints.TERMS // 64, -1, np.int64)
-    terms = docs.select(fingerprints.known_terms(docs.text, bits).alias("t")).collect()
+    terms = fingerprints.with_terms(docs, "text", "t", fingerprints.lexicon(docs, 0.0)).collect()
     assert terms[0].t == terms[1].t == sorted(terms[0].t) and len(terms[0].t) == 3
 
 
