@@ -75,8 +75,8 @@ URL_RULES = [
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES + urls.general_rules())
-    return judged.select("page_id", "host", "path", F.when(F.col("level") == 0, F.col("rule")).alias("rule"), "verdict")
+    judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,30 +128,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-#: The word rules as one alternation each; a space stands for what is between tokens.
-_either = lambda words: "|".join(w.replace(" ", "[^a-z0-9/]+") for w in words)
-
 ORACLES: dict[str, str] = {
-    "op8_urls": f"""
+    "op8_urls": """
 WITH split AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 judged AS (
-  SELECT *, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_path, CASE
+  SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM split)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
-       WHEN rule IS NOT NULL THEN 'allow'
-       WHEN host = '' THEN 'allow'
-       WHEN regexp_matches(concat(host, lower_path), '(^|[^a-z0-9])({_either(urls.WORDS)})([^a-z0-9]|$)') THEN 'block'
-       WHEN regexp_matches(host, '(^|[^a-z0-9])({_either(urls.HOST_WORDS)})([^a-z0-9]|$)') THEN 'block'
-       ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """,
     "op11_divergence": r"""

@@ -9,8 +9,9 @@ and only those run their regular expression.  Only DataFrame operations.
 Of the rules that match, the lowest level and then the longest text wins; with
 equal length block before allow, then the smaller text.  A rule without tokens is a candidate everywhere.
 
-Where no domain rule fits, WORDS decide: general words of unwanted kinds of sites,
-each a rule of a later level for hosts, some for paths too.
+Where no rule fits, the verdict is `default`, allow.  There is no list of words by
+which unknown sites are judged; a caller's own words are rules (word_rule), by
+default of a later level than those of domains.
 
 Defined cases: null url, or one without `://`: host and path are empty and no
 rule fits.  Urls of any length are judged whole.  Repeated urls get a row each, no
@@ -31,18 +32,6 @@ from graphloom.llm.common import fresh, named, small_table, without
 BROADCAST_RULES = 100_000
 ADDED = ("host", "path", "rule", "level", "verdict")
 
-#: Words by which a site says that it is of an unwanted kind.  Those in HOST_WORDS
-#: count in hosts only, since paths of other sites hold them too.
-KINDS = {
-    "gambling": ["casino", "casinos", "gambling", "roulette", "blackjack", "jackpot", "jackpots", "sportsbook", "bookmaker", "bookmakers"],
-    "adult": ["porn", "porno", "xxx", "escort", "escorts", "hentai", "camgirl", "camgirls", "onlyfans", "milf"],
-    "pharmacy": ["viagra", "cialis", "tramadol", "xanax", "kamagra", "levitra"],
-    "malware": ["malware", "phishing", "ransomware", "trojan", "keylogger", "keygen", "warez", "nulled"],
-    "spam": ["spam", "spammer", "scam", "scams", "clickbait", "popunder", "adserver", "adservice"],
-}
-HOST_WORDS = ["ads", "adx", "adult", "adults", "sex", "nude", "nudes", "bet", "bets", "betting", "poker", "slots", "lotto", "lottery", "pills", "pharmacy", "meds", "steroids", "banners", "tracker", "trackers", "doorway", "replica", "payday", "crack", "cracks", "free money", "get rich", "work from home"]
-WORDS = [w for words in KINDS.values() for w in words]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -69,10 +58,6 @@ def word_rule(verdict: str, words: str, level: int = 1, path: bool = False) -> R
     return Rule(words, ("(?s)^.*?" if path else "^[^/]*?") + "(?<![a-z0-9])" + "[^a-z0-9/]+".join(tokens) + "(?![a-z0-9])", tuple(tokens), verdict, level)
 
 
-def general_rules() -> list[Rule]:
-    return [word_rule("block", w, path=True) for w in WORDS] + [word_rule("block", w) for w in HOST_WORDS]
-
-
 def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

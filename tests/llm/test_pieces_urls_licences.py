@@ -82,15 +82,19 @@ URLS = [
 def test_url_rules(spark):
     from graphloom.llm.queries import URL_RULES
 
+    words = [urls.word_rule("block", w, path=True) for w in ("spam", "casino", "porn")] + [urls.word_rule("block", w) for w in ("bets", "get rich")]
     rows = [(i, u, "old", 1, 2) for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], None, 1, 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, tokens int, _token int")
-    out = urls.judge(pages, URL_RULES + urls.general_rules())
+    out = urls.judge(pages, URL_RULES + words)
     got = out.collect()
     assert len(got) == len(rows) and out.columns[:4] == ["page_id", "url", "tokens", "_token"]
     for r in got:
         assert ((r.rule if r.level == 0 else None), r.verdict) == URLS[r.page_id][1:], r
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0
     assert {r.verdict for r in urls.judge(pages, []).collect()} == {"allow"}
+    for r in urls.judge(pages, URL_RULES).collect():
+        assert r.rule == URLS[r.page_id][1] and r.verdict == (URLS[r.page_id][2] if r.rule else "allow")
+    assert {r.verdict for r in urls.judge(pages, URL_RULES, "block").collect() if r.rule is None} == {"block"}
 
 
 def test_licences_and_inheritance(spark):
