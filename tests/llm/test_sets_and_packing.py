@@ -218,7 +218,9 @@ def test_fingerprint_subsets_are_sorted_term_hashes(spark):
     assert terms[0].t == terms[1].t == sorted(terms[0].t) and len(terms[0].t) == 3
 
 
-def test_neighbours_recall_and_cases(spark):
+@pytest.mark.parametrize("slot", [additive.SLOT, 300])
+def test_neighbours_recall_and_cases(spark, monkeypatch, slot):
+    monkeypatch.setattr(additive, "SLOT", slot)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(1500, 24))
     rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
