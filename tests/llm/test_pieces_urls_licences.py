@@ -169,3 +169,22 @@ def test_sql_agrees(spark, name):
     con.sql(f"create view pages as select * from '{SMALL}/pages.parquet'")
     want = sorted(con.sql(ORACLES[name]).fetchall(), key=str)
     assert sorted((tuple(r) for r in QUERIES[name](spark, SMALL).collect()), key=str) == want
+
+
+def test_url_query_judges_where_no_rule_fits(spark, tmp_path):
+    """The query and its SQL give the method's verdict by words, not one verdict for all."""
+    import duckdb
+
+    from graphloom.llm.queries import ORACLES, QUERIES
+
+    odd = [f"http://a.{w.replace(' ', '-')}.org/en/" for w in urls.WORDS + urls.HOST_WORDS] + [f"http://x.org/A_{w.upper()}" for w in urls.WORDS] + [f"http://x.org/{w}" for w in urls.HOST_WORDS]
+    every = [u for u, _, _ in URLS] + odd
+    spark.createDataFrame(list(enumerate(every)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op8_urls"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(ORACLES["op8_urls"]).fetchall()) and len(got) == len(every)
+    said = {every[i]: (rule, verdict) for i, _, _, rule, verdict in got}
+    assert said["http://spam-farm.x.org/en/"] == (None, "block") and said["http://casino.example.net/en/"] == ("example.net/en/", "allow")
+    in_hosts = len(urls.WORDS + urls.HOST_WORDS)
+    assert [said[u][1] for u in odd] == ["block"] * (in_hosts + len(urls.WORDS)) + ["allow"] * len(urls.HOST_WORDS)
