@@ -9,12 +9,14 @@ best of each query over all slots then get their exact cosine, in double precisi
 on the original vectors.
 
 Codebooks are fitted on a bounded sample: the `sample` vectors of lowest
-xxhash64(id).  Every vector is encoded and scored against every query.  Queries
-and candidates meet in blocks (QUERIES queries by SLOT candidates); a task holds
-one block of queries and streams codes.  Of several slots, each sends only codes that
-reach a query's threshold: the score that, in a hashed share of all codes (1 / SHARE
-at least), so many reach that `rerank` of all do, with three standard deviations
-to spare.  So what is merged grows with the queries, not with queries times slots.
+xxhash64(id).  Nothing else comes from a sample: every vector is encoded and scored
+against every query.  Queries and candidates meet in blocks (QUERIES queries by SLOT
+candidates); a task holds one block of queries and streams codes.  Several slots are
+scanned twice.  First each gives, of its `rerank` best scores for a query, those at
+places that grow by GROWTH; a place tells how many codes of its slot reach that score
+at least, so these sum to a score that `rerank` of all codes reach for certain, and
+seldom a quarter more (equal scores apart).  Then each slot sends its codes that reach it.  So the codes that are merged grow with the queries, not with
+queries times slots, and are the same as those of a single slot.
 
 Defined cases: vectors that are null, of zero length, hold null or non-finite
 components, or differ in dimension from the most frequent one take no part, nor
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import bounded_batches, durable
 
 BOOKS, WORDS, BEAM = 16, 256, 4
-QUERIES, SLOT, SHARE = 512, 16384, 64
+QUERIES, SLOT, GROWTH = 512, 16384, 1.25
+#: Scores of two scans are taken as equal within this, should machines round differently.
+SLACK = 1e-5
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -127,6 +131,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _places(limit: int) -> np.ndarray:
+    """1, 2, 3, ..., then growing by GROWTH, up to limit."""
+    at = [1]
+    while at[-1] < limit:
+        at.append(min(limit, max(at[-1] + 1, int(at[-1] * GROWTH))))
+    return np.array(at)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 600, sample: int = 8192, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest cosines but its own."""
     spark = rows.sparkSession
@@ -151,14 +163,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 600, s
                 slot = zlib.crc32(ids.tobytes()) % slots
                 yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([ids.tobytes()]), pa.array([codes.tobytes()]), pa.array([norms.tobytes()])], names=["slot", "ids", "codes", "norms"])
 
-    def scanned(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, q, table, best = None, [], None, []
+    def scanned(counts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The `rerank` best codes of each query and slot; counts: scores at some places instead, with the codes since the last place."""
+        group, q, table, best, places = None, [], None, [], _places(rerank)
 
         def out() -> pa.RecordBatch:
             kept = [(qid, *best[i]) for i, (qid, _, _) in enumerate(q) if best]
+            if counts:
+                at = [places[places <= len(s)] for _, _, s in kept]
+                kept = [(qid, np.diff(p, prepend=0), np.sort(s)[::-1][p - 1]) for (qid, _, s), p in zip(kept, at)]
             a = np.repeat(np.array([qid for qid, _, _ in kept], np.int64), [len(c) for _, c, _ in kept])
             b, s = (np.concatenate([r[k] for r in kept]) if kept else np.zeros(0) for k in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["query_id", "vec_id", "near"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["query_id", "codes" if counts else "vec_id", "near"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -174,46 +190,48 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 600, s
                 if table is None:
                     table = books.value.table(_unit(np.array([v for _, v, _ in q])))
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.float32)) for _ in q]
+                    low = np.array([least for _, _, least in q], np.float32)
                 ids, norms = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"], np.float32)
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
                 total = np.zeros((len(q), len(ids)), np.float32)
                 for b in range(codes.shape[1]):
                     total += table[:, b, codes[:, b]]
                 total /= np.maximum(norms, 1e-6)
-                for i, (qid, _, least) in enumerate(q):
-                    other = (ids != qid) & (total[i] >= least)
+                hit = total >= low[:, None]
+                for i in np.flatnonzero(hit.any(1)):
+                    other = hit[i] & (ids != q[i][0])
                     s, c = np.concatenate([best[i][1], total[i][other]]), np.concatenate([best[i][0], ids[other]])
-                    if len(s) > limit:
-                        top = np.lexsort((c, -s))[:limit]
+                    if len(s) > rerank:
+                        top = np.lexsort((c, -s))[:rerank]
                         s, c = s[top], c[top]
+                        low[i] = s[-1]
                     best[i] = (c, s)
         if group is not None:
             yield out()
 
     spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
 
-    def scan(of: DataFrame, queries: DataFrame, slots: int, limit: int) -> DataFrame:
-        """The `limit` best codes of each query and slot, of those that reach its least score."""
-        codes = of.mapInArrow(encoded, "slot long, ids binary, codes binary, norms binary").withColumn("slot", F.pmod("slot", F.lit(slots)))
+    # both scans see the same codes
+    codes = durable(base.mapInArrow(encoded, "slot long, ids binary, codes binary, norms binary"), "codes")
+
+    def scan(queries: DataFrame, counts: bool) -> DataFrame:
         left = queries.select(F.col("vec_id").alias("query_id"), "v", "least", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).withColumn("slot", spread(slots))
         right = codes.withColumn("block", spread(blocks))
         both = left.select("slot", "block", "query_id", "v", "least", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "codes", "norms")])
         both = both.unionByName(right, allowMissingColumns=True)
         placed = both.repartition("slot", "block").sortWithinPartitions("slot", "block", F.col("query_id").asc_nulls_last())
-        return placed.mapInArrow(partial(scanned, limit), "query_id long, vec_id long, near float")
+        return placed.mapInArrow(partial(scanned, counts), f"query_id long, {'codes' if counts else 'vec_id'} long, near float")
 
     asked_from = asked.withColumn("least", F.lit(float("-inf")).cast("float"))
-    share = min(slots, SHARE)
-    if share > 1:
-        rank = int(np.ceil(rerank / share + 3 * (rerank / share) ** 0.5))
-        part = base.where(F.pmod(F.xxhash64("vec_id", F.lit("share")), F.lit(share)) == 0)
-        # a query with fewer than `rank` codes in the share keeps all
-        least = scan(part, asked_from, 1, rank).groupBy("query_id").agg(F.min("near").alias("at"), F.count("*").alias("n")).where(F.col("n") >= rank)
-        least = durable(least.select(F.col("query_id").alias("vec_id"), F.col("at").alias("least")), "least")
+    if slots > 1:
+        so_far = F.sum("codes").over(Window.partitionBy("query_id").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, 0))
+        # a query with fewer than `rerank` codes in all keeps all
+        least = scan(asked_from, True).withColumn("n", so_far).where(F.col("n") >= rerank).groupBy("query_id").agg(F.max("near").alias("at"))
+        least = durable(least.select(F.col("query_id").alias("vec_id"), (F.col("at") - SLACK * F.greatest(F.abs("at"), F.lit(1.0))).cast("float").alias("least")), "least")
         asked_from = asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
     # of all slots' best only the best of all meet their vectors
     near = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = scan(base, asked_from, slots, rerank).withColumn("at", F.row_number().over(near)).where(F.col("at") <= rerank).select("query_id", "vec_id")
+    found = scan(asked_from, False).withColumn("at", F.row_number().over(near)).where(F.col("at") <= rerank).select("query_id", "vec_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -249,3 +249,18 @@ def test_few_or_no_neighbours(spark):
     got = additive.search(df, df.where("vec_id % 50 = 0")).collect()
     assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (2, 2)]
     assert additive.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_slots_merge_all_that_one_slot_holds(spark, monkeypatch):
+    """All near vectors in a hashed share of the ids: a threshold from that share cuts candidates."""
+    rng = np.random.default_rng(7)
+    near = {r.id for r in spark.range(1500).where("pmod(xxhash64(id, 'share'), 5) = 0").collect()}
+    v = rng.normal(size=(1500, 24)) + np.where(np.isin(np.arange(1500), list(near))[:, None], 8.0, 0.0) * np.eye(24)[0]
+    v[::50] = rng.normal(size=(30, 24)) + 8 * np.eye(24)[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = []
+    for slot in (300, 1500):
+        monkeypatch.setattr(additive, "SLOT", slot)
+        got.append({(r.query_id, r.rank): (r.vec_id, r.score) for r in additive.search(df, df.where("vec_id % 50 = 0"), k=400, rerank=400).collect()})
+    assert len(got[0]) == 30 * 400
+    assert got[0] == got[1]
