@@ -202,9 +202,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 600, s
                     other = hit[i] & (ids != q[i][0])
                     s, c = np.concatenate([best[i][1], total[i][other]]), np.concatenate([best[i][0], ids[other]])
                     if len(s) > rerank:
-                        top = np.lexsort((c, -s))[:rerank]
+                        low[i] = np.partition(s, -rerank)[-rerank]
+                        top = np.flatnonzero(s >= low[i])
+                        if len(top) > rerank:  # of equal scores the smaller ids
+                            top = top[np.lexsort((c[top], -s[top]))[:rerank]]
                         s, c = s[top], c[top]
-                        low[i] = s[-1]
                     best[i] = (c, s)
         if group is not None:
             yield out()
