@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.plans.tables import discard, durable, durable_counted
+from graphloom.plans.tables import discard, durable, durable_counted, growing
 
 SIZES = (1, 2, 3)
 #: Pairs that one copy of a text is checked for.
@@ -50,7 +50,7 @@ def candidates(needles: DataFrame, postings: DataFrame) -> DataFrame:
     asked = needles.select(*keys, F.explode("pieces").alias("piece")).join(often, "piece", "left")
     # a piece that no text holds is the rarest, and finds nothing
     rarest = asked.groupBy(*keys).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r"))
-    return rarest.where("r.n > 0").select(*keys, F.col("r.piece").alias("piece")).join(postings, "piece").drop("piece")
+    return rarest.where("r.n > 0").select(*keys, F.col("r.piece").alias("piece")).join(growing(postings), "piece").drop("piece")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, fits: Callable[[Column, Column], Column], chunk: int = CHUNK) -> DataFrame:
@@ -60,9 +60,9 @@ def checked(pairs: DataFrame, texts: DataFrame, fits: Callable[[Column, Column],
     """
     others = [c for c in pairs.columns if c != "id"]
     sizes = pairs.groupBy("id").agg(F.floor(F.count("*") / chunk + 1).alias("_chunks"))
-    dealt = pairs.join(sizes, "id").withColumn("_chunk", F.pmod(F.xxhash64(*others), F.col("_chunks")))
+    dealt = pairs.join(growing(sizes), "id").withColumn("_chunk", F.pmod(F.xxhash64(*others), F.col("_chunks")))
     together = dealt.groupBy("id", "_chunk").agg(F.collect_list(F.struct(*others)).alias("_items"))
-    read = together.join(texts.select("id", F.col("text").alias("_text")), "id")
+    read = together.join(growing(texts.select("id", F.col("text").alias("_text"))), "id")
     return read.select("id", F.inline(F.filter("_items", lambda x: fits(x, F.col("_text")))))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.substring import holding
 from graphloom.functions.text import last_segment
 from graphloom.plans.catalog import CodeGraph
-from graphloom.plans.tables import durable
+from graphloom.plans.tables import durable, growing
 
 IMPORT_MARKS = "\\.:"
 
@@ -55,14 +55,14 @@ def _qualified(asked: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def _imported(g: CodeGraph) -> DataFrame:
     """(source_file_id, target_name, full_path): the last import of a name in a file."""
-    return g.imports.groupBy(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).agg(F.max_by("full_path", "id").alias("full_path"))
+    return growing(g.imports.groupBy(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).agg(F.max_by("full_path", "id").alias("full_path")))
 
 
 def _narrowed(g: CodeGraph, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imports, symbols) that these references can mean."""
-    imports = g.imports.join(refs.select(F.col("source_file_id").alias("file_id"), F.col("target_name").alias("local_name")), ["file_id", "local_name"], "left_semi")
+    imports = g.imports.join(growing(refs.select(F.col("source_file_id").alias("file_id"), F.col("target_name").alias("local_name"))), ["file_id", "local_name"], "left_semi")
     names = refs.select(F.col("target_name").alias("name")).unionByName(imports.select(last_segment(F.col("full_path"), IMPORT_MARKS).alias("name"))).distinct()
-    return imports, g.symbols.join(names, "name", "left_semi")
+    return imports, g.symbols.join(growing(names), "name", "left_semi")
 
 
 def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
@@ -72,9 +72,9 @@ def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
         refs = durable(refs, "asked")
         imports, symbols = _narrowed(g, refs)
         g = replace(g, refs=refs, imports=durable(imports, "imports"), symbols=durable(symbols, "symbols"))
-    parent = whole.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
-    names = g.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("b_id"))
-    in_file = g.symbols.groupBy("name", "file_id").agg(F.count("*").alias("c_n"), F.min("id").alias("c_id")).where("c_n = 1").drop("c_n")
+    parent = growing(whole.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name")))
+    names = growing(g.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("b_id")))
+    in_file = growing(g.symbols.groupBy("name", "file_id").agg(F.count("*").alias("c_n"), F.min("id").alias("c_id")).where("c_n = 1").drop("c_n"))
     imported = _imported(g)
 
     rows = g.refs.drop("target_symbol_id", "resolved")
@@ -85,14 +85,14 @@ def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
 
     several = g.symbols.select("id", "file_id", "name", "parent_id").join(names.where("n > 1").select("name"), "name", "left_semi")
     # candidates of qualified names only
-    asked = g.refs.where("target_qualifier is not null").select(F.col("target_name").alias("name"), F.col("target_qualifier").alias("qualifier")).distinct()
-    candidates = several.join(asked.select("name"), "name", "left_semi").join(g.paths(name="path"), "file_id").join(parent, "parent_id", "left")
+    asked = growing(g.refs.where("target_qualifier is not null").select(F.col("target_name").alias("name"), F.col("target_qualifier").alias("qualifier")).distinct())
+    candidates = several.join(asked.select("name"), "name", "left_semi").join(growing(g.paths(name="path")), "file_id").join(parent, "parent_id", "left")
     by_qualifier = _qualified(asked, candidates).select(F.col("name").alias("target_name"), F.col("qualifier").alias("target_qualifier"), "d_id")
     rows = rows.join(by_qualifier, ["target_name", "target_qualifier"], "left")
 
-    paths = imported.join(g.refs.select("source_file_id", "target_name"), ["source_file_id", "target_name"], "left_semi").select(F.col("target_name").alias("name"), "full_path").distinct()
-    paths = paths.join(names.where("n > 1").select("name"), "name", "left_semi")
-    files = several.join(paths.select("name"), "name", "left_semi")
+    paths = imported.join(growing(g.refs.select("source_file_id", "target_name")), ["source_file_id", "target_name"], "left_semi").select(F.col("target_name").alias("name"), "full_path").distinct()
+    paths = growing(paths.join(names.where("n > 1").select("name"), "name", "left_semi"))
+    files = growing(several.join(paths.select("name"), "name", "left_semi"))
     # files once each, whatever the number of their symbols
     texts = g.files.select("id", F.col("path").alias("text")).join(files.select(F.col("file_id").alias("id")), "id", "left_semi")
     hits = holding(texts, paths.select(F.col("full_path").alias("needle")))  # a written table
@@ -118,7 +118,7 @@ def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
 def of_name(g: CodeGraph, name: str) -> DataFrame:
     """The references that have this name, or an import through which they can mean it."""
     via = g.imports.where((last_segment(F.col("full_path"), IMPORT_MARKS) == name) & (F.col("local_name") != name))
-    keys = via.select(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).distinct()
+    keys = growing(via.select(F.col("file_id").alias("source_file_id"), F.col("local_name").alias("target_name")).distinct())
     other = g.refs.where(F.col("target_name") != name).join(keys, ["source_file_id", "target_name"], "left_semi")
     return g.refs.where(F.col("target_name") == name).unionByName(other)
 

@@ -35,6 +35,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """The same rows, as a side of joins that is sorted and merged, not broadcast.
+
+    Spark takes a table for as large as its compressed files, and a side read from them
+    alone is broadcast by that: rows of 10 MB of Parquet can take hundreds in the driver.
+    For sides that grow with the tables; the hint holds up to the first join.
+    """
+    return df.hint("merge")
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Written as Parquet and reread: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

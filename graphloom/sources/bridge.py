@@ -67,6 +67,8 @@ refs AS (
   SELECT 100000000 + i.id, i.file_id, CAST(NULL AS BIGINT), 'call', i.local_name, CAST(NULL AS VARCHAR(20)), i.line
   FROM imports i WHERE i.id % 4 IN (0, 1))"""
 CTES = TEMPLATE.format(**{t: t for t in TABLES})
+#: For Spark: what grows with the tables is merged, not broadcast (see tables.growing).
+MERGED = TEMPLATE.replace("imports AS (\n  SELECT", "imports AS (\n  SELECT /*+ MERGE(s, n) */").replace("refs AS (\n  SELECT", "refs AS (\n  SELECT /*+ MERGE(s, t, p) */")
 
 
 def _whole(df: DataFrame, ddl: str) -> DataFrame:
@@ -80,6 +82,6 @@ def _whole(df: DataFrame, ddl: str) -> DataFrame:
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     # the tables are arguments of the query, so no view of the caller's is touched
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    of = lambda table: spark.sql(f"WITH {TEMPLATE} SELECT * FROM {table}", **given)
+    of = lambda table: spark.sql(f"WITH {MERGED} SELECT * FROM {table}", **given)
     refs = _whole(of("refs"), schema.REFS).withColumn("resolved", F.lit(False))
     return CodeGraph(_whole(of("files"), schema.FILES), _whole(of("symbols"), schema.SYMBOLS), refs, _whole(of("imports"), schema.IMPORTS))

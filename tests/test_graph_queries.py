@@ -1,14 +1,19 @@
 """Graph queries on small graphs, and properties that must hold on any."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom.functions import substring
 from graphloom.functions.substring import holding, needle_pieces, pieces
 from graphloom.functions.text import ascii_like, last_segment, split_qualified
 from graphloom.operators import calls, hierarchy, imports, link, references, resolve, symbols, testing
+from graphloom.plans import catalogue, layout
 from graphloom.plans.catalog import empty_graph
+from graphloom.plans.tables import durable
 from graphloom.sources import bridge
 from tests.graphs import Builder
 
@@ -108,6 +113,19 @@ def test_references(spark):
     assert references.find_references(g, "sail").count() == 2 and references.find_references(g, "sail", "import").count() == 0
 
 
+def test_references_broadcast_nothing_that_grows_with_the_tables(spark, monkeypatch):
+    # files of 10 MB can hold millions of rows: by their size Spark must not choose
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    for module in (layout, resolve, substring):
+        monkeypatch.setattr(module, "durable", lambda df, name: plans.append(plan(df)) or durable(df, name))
+    plans.append(plan(catalogue.QUERIES["references_all"](spark, SMALL.replace("0.001", "0.01"))))
+    assert len(plans) == 11 and all("SortMergeJoin" in p for p in plans[2:])
+    # only the distinct pieces of three characters may be
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", "".join(plans))) <= {"piece"}
+    assert "MERGE" not in bridge.CTES
+
+
 def test_hierarchy(spark):
     # Oak and Elm are trees, a Sapling is an Oak, and a Plant is made by a Tree: a circle
     b = Builder(spark)
