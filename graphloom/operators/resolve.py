@@ -59,10 +59,10 @@ def _imported(g: CodeGraph) -> DataFrame:
 
 
 def _narrowed(g: CodeGraph, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(imports, symbols) that these references can mean."""
-    imports = g.imports.join(growing(refs.select(F.col("source_file_id").alias("file_id"), F.col("target_name").alias("local_name"))), ["file_id", "local_name"], "left_semi")
+    """(imports, symbols) that these references can mean, written."""
+    imports = durable(g.imports.join(growing(refs.select(F.col("source_file_id").alias("file_id"), F.col("target_name").alias("local_name"))), ["file_id", "local_name"], "left_semi"), "imports")
     names = refs.select(F.col("target_name").alias("name")).unionByName(imports.select(last_segment(F.col("full_path"), IMPORT_MARKS).alias("name"))).distinct()
-    return imports, g.symbols.join(growing(names), "name", "left_semi")
+    return imports, durable(g.symbols.join(growing(names), "name", "left_semi"), "symbols")
 
 
 def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
@@ -71,33 +71,35 @@ def resolve(g: CodeGraph, refs: DataFrame | None = None) -> DataFrame:
     if refs is not None:
         refs = durable(refs, "asked")
         imports, symbols = _narrowed(g, refs)
-        g = replace(g, refs=refs, imports=durable(imports, "imports"), symbols=durable(symbols, "symbols"))
+        g = replace(g, refs=refs, imports=imports, symbols=symbols)
     parent = growing(whole.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name")))
-    names = growing(g.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("b_id")))
+    # steps are written, as the driver plans all that is left after each shuffle of a plan
+    names = growing(durable(g.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("b_id")), "names"))
     in_file = growing(g.symbols.groupBy("name", "file_id").agg(F.count("*").alias("c_n"), F.min("id").alias("c_id")).where("c_n = 1").drop("c_n"))
     imported = _imported(g)
 
     rows = g.refs.drop("target_symbol_id", "resolved")
     rows = rows.join(names.withColumnRenamed("name", "target_name"), "target_name", "left").join(imported, ["source_file_id", "target_name"], "left")
+    rows = rows.join(in_file.select(F.col("name").alias("target_name"), F.col("file_id").alias("source_file_id"), "c_id"), ["source_file_id", "target_name"], "left")
     rows = rows.withColumn("actual", F.when(F.col("n").isNull(), last_segment(F.col("full_path"), IMPORT_MARKS)))
     rows = rows.join(names.where("n = 1").select(F.col("name").alias("actual"), F.col("b_id").alias("a_id")), "actual", "left")
-    rows = rows.join(in_file.select(F.col("name").alias("target_name"), F.col("file_id").alias("source_file_id"), "c_id"), ["target_name", "source_file_id"], "left")
 
     several = g.symbols.select("id", "file_id", "name", "parent_id").join(names.where("n > 1").select("name"), "name", "left_semi")
     # candidates of qualified names only
     asked = growing(g.refs.where("target_qualifier is not null").select(F.col("target_name").alias("name"), F.col("target_qualifier").alias("qualifier")).distinct())
     candidates = several.join(asked.select("name"), "name", "left_semi").join(growing(g.paths(name="path")), "file_id").join(parent, "parent_id", "left")
-    by_qualifier = _qualified(asked, candidates).select(F.col("name").alias("target_name"), F.col("qualifier").alias("target_qualifier"), "d_id")
+    candidates = durable(candidates.select("name", "id", "path", "parent_name"), "candidates")
+    by_qualifier = growing(durable(_qualified(asked, candidates).select(F.col("name").alias("target_name"), F.col("qualifier").alias("target_qualifier"), "d_id"), "qualified"))
     rows = rows.join(by_qualifier, ["target_name", "target_qualifier"], "left")
 
     paths = imported.join(growing(g.refs.select("source_file_id", "target_name")), ["source_file_id", "target_name"], "left_semi").select(F.col("target_name").alias("name"), "full_path").distinct()
-    paths = growing(paths.join(names.where("n > 1").select("name"), "name", "left_semi"))
-    files = growing(several.join(paths.select("name"), "name", "left_semi"))
+    paths = growing(durable(paths.join(names.where("n > 1").select("name"), "name", "left_semi"), "paths"))
+    files = growing(durable(several.join(paths.select("name"), "name", "left_semi").select("name", "file_id", "id"), "named"))
     # files once each, whatever the number of their symbols
     texts = g.files.select("id", F.col("path").alias("text")).join(files.select(F.col("file_id").alias("id")), "id", "left_semi")
     hits = holding(texts, paths.select(F.col("full_path").alias("needle")))  # a written table
     by_import = paths.join(hits.select(F.col("needle").alias("full_path"), F.col("id").alias("file_id")), "full_path").join(files.select("name", "file_id", "id"), ["name", "file_id"])
-    by_import = by_import.groupBy("name", "full_path").agg(F.min("id").alias("e_id"))
+    by_import = growing(durable(by_import.groupBy("name", "full_path").agg(F.min("id").alias("e_id")), "imported"))
     rows = rows.join(by_import.withColumnRenamed("name", "target_name"), ["target_name", "full_path"], "left")
 
     n = F.col("n")
@@ -126,7 +128,8 @@ def of_name(g: CodeGraph, name: str) -> DataFrame:
 def apply(g: CodeGraph, refs: DataFrame | None = None) -> CodeGraph:
     """The graph with its references (or these alone) resolved."""
     columns = [F.col(c) for c in g.refs.columns]
-    return replace(g, refs=resolve(g, refs).select(*columns))
+    rows = resolve(g, refs).select(*columns)
+    return replace(g, refs=rows if refs is None else durable(rows, "resolved"))
 
 
 @dataclass(frozen=True)
